@@ -49,7 +49,7 @@ GREETING_PHRASES = [
     "buenas noches",
 ]
 GREETING = rf"{_WORD_START}(?:{'|'.join(GREETING_PHRASES)}){_WORD_END}[:,;\-{_S}]*"
-SENTENCE_BREAK = r"[.!?\n;:]+"
+SENTENCE_BREAKS = r".!?\n;:"
 NOISE_KEYWORD = rf"(?:^|[{_S}_-])(?:{NOISE_WORDS})(?:$|[{_S}_-])"
 
 
@@ -99,7 +99,9 @@ def strip_whitespace(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return strip_whitespace(F.regexp_replace(text, rf"(?U)[{_S}]+", " "))
+    """Single spaces between words, none around; single spaces are not rewritten."""
+    uneven = rf"(?U)[{_S}]{{2,}}|[{_S}&&[^ ]]"
+    return F.trim(F.regexp_replace(text, uneven, " "))
 
 
 @lru_cache(maxsize=1)
@@ -112,7 +114,9 @@ def _combining_class() -> str:
                 spans[-1][1] = code
             else:
                 spans.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]+"
+    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
+    # All of them are marks; testing that first spares other characters the long list.
+    return rf"[\p{{M}}&&[{ranges}]]+"
 
 
 def fold_text(text: Column) -> Column:
@@ -124,17 +128,18 @@ def fold_text(text: Column) -> Column:
 
 
 def drop_first_words(text: Column, words_to_drop: int = 3) -> Column:
-    """Drop the first words of every sentence; sentences not longer than that vanish."""
+    """Drop the first words of every sentence; sentences not longer than that vanish.
+
+    One pass removes each sentence break with the words after it, a second evens out
+    the whitespace that is left.
+    """
     if words_to_drop <= 0:
         return text
-
-    def tail(sentence: Column) -> Column:
-        words = F.filter(F.split(sentence, rf"(?U)[{_S}]+"), lambda w: w != "")
-        kept = F.slice(words, words_to_drop + 1, F.greatest(F.size(words), F.lit(1)))
-        return F.array_join(kept, " ")
-
-    sentences = F.transform(F.split(text, SENTENCE_BREAK), tail)
-    return F.array_join(F.filter(sentences, lambda s: s != ""), " ")
+    opening = (
+        rf"(?U)(?:\A|[{SENTENCE_BREAKS}])[{SENTENCE_BREAKS}{_S}]*+"
+        rf"(?:[^{_S}{SENTENCE_BREAKS}]++[{_S}&&[^\n]]*+){{0,{words_to_drop}}}+"
+    )
+    return collapse_whitespace(F.regexp_replace(text, opening, " "))
 
 
 def clean_description(text: Column, words_to_drop: int = 3) -> Column:
@@ -153,7 +158,9 @@ def clean_description(text: Column, words_to_drop: int = 3) -> Column:
         strip_greetings,
     ):
         cleaned = step(cleaned)
-    return collapse_whitespace(drop_first_words(cleaned, words_to_drop))
+    if words_to_drop <= 0:
+        return collapse_whitespace(cleaned)
+    return drop_first_words(cleaned, words_to_drop)
 
 
 def truncate_text(text: Column, max_chars: int = 350) -> Column:
