@@ -124,20 +124,24 @@ def theme_sizes(groups: DataFrame) -> DataFrame:
 def theme_term_weights(
     weights: DataFrame, groups: DataFrame, id_col: str = "ticket_id"
 ) -> DataFrame:
-    """Mean weight of each term over all texts of its theme, texts without it included."""
+    """Mean weight of each term over all texts of its theme, texts without it included.
+
+    Means are rounded to twelve places: sums differ in their last digits with the order
+    of addition, and equal means must stay equal to be ranked by term.
+    """
     sums = (
         weights.join(groups.select(id_col, "theme_id"), id_col)
         .groupBy("theme_id", "term")
         .agg(F.sum("weight").alias("total"))
     )
     return sums.join(theme_sizes(groups), "theme_id").select(
-        "theme_id", "term", (F.col("total") / F.col("count")).alias("mean_weight")
+        "theme_id",
+        "term",
+        F.round(F.col("total") / F.col("count"), 12).alias("mean_weight"),
     )
 
 
-def theme_keywords(
-    term_weights: DataFrame, top_keywords: int = 12
-) -> DataFrame:
+def theme_keywords(term_weights: DataFrame, top_keywords: int = 12) -> DataFrame:
     """(theme_id, keywords): heaviest terms of each theme in order of weight, noise removed.
 
     Noise goes after the cut, so a theme may have fewer keywords than asked for.
