@@ -25,7 +25,7 @@ from ticketlens.operators.vectors import semantic_vectors  # noqa: E402
 from ticketlens.plans.pipeline import enrich_tickets  # noqa: E402
 from ticketlens.plans.report import report_rollup, report_tables  # noqa: E402
 from ticketlens.plans.themes import build_themes  # noqa: E402
-from ticketlens.session import scratch_path  # noqa: E402
+from ticketlens.session import scratch_path, spread  # noqa: E402
 from ticketlens.sources import (  # noqa: E402
     normalize_tickets,
     read_tickets_csv,
@@ -95,7 +95,7 @@ def _with_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" la Imagen que dice: Buenos dias; "),
         F.col("source"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ticket_id"), text.alias("text")
     )
 
@@ -516,7 +516,9 @@ def _theme_queries() -> dict[str, Query]:
         return found.select("ticket_id", F.round(length, 6).alias("squared_length"))
 
     def learned(spark, sf_dir):
-        return build_themes(_cleaned(spark, sf_dir)).themes
+        path = scratch_path(spark, "cleaned")
+        write_tickets(_cleaned(spark, sf_dir), path)
+        return build_themes(spark.read.parquet(path)).themes
 
     return {
         "theme_coverage": coverage,

@@ -35,3 +35,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the session's checkpoint folder, which every executor can reach."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Share a scan of few partitions among all cores; a scan with enough is left as it is.
+
+    Meant for bare scans: counting the partitions of a plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() < cores:
+        return scan.repartition(cores)
+    return scan

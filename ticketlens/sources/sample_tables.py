@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.session import spread
+
 NOW = "2001-08-01 12:00:00"
 
 
@@ -67,7 +69,7 @@ def order_tickets(
 
 def document_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tickets with a summary and a description."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ticket_id"),
         F.substring("text", 1, 60).alias("Summary"),
         F.col("text").alias("Description"),

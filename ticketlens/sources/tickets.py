@@ -14,6 +14,7 @@ from ticketlens.schema import (
     OPTIONAL_COLUMNS,
     REQUIRED_COLUMNS,
 )
+from ticketlens.session import spread
 
 COPIES_PER_TASK = 100_000
 
@@ -41,7 +42,8 @@ def read_tickets_csv(
         .option("escape", '"')
         .csv(path)
     )
-    raw = _first_of_repeated_headers(raw)
+    # A multi-line file is one partition; cleaning its texts should not stay in one task.
+    raw = _first_of_repeated_headers(spread(raw))
     raw = raw.select(
         [
             F.when(~_name(c).isin(NA_STRINGS), _name(c)).alias(c)
