@@ -342,13 +342,9 @@ def resolution_time_histogram(
     if bounds is None:
         bounds = df.agg(F.min(hours).alias("lo"), F.max(hours).alias("hi"))
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    # width_bucket puts the top edge in bin bins + 1 and refuses an empty range.
-    bin_of = F.coalesce(
-        F.least(
-            F.width_bucket(hours, F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins)
-        ),
-        F.lit(1),
-    )
+    # width_bucket puts the top edge in bin bins + 1 and gives null for an empty range.
+    bucket = F.width_bucket(hours, F.col("lo"), F.col("hi"), F.lit(bins))
+    bin_of = F.least(F.coalesce(bucket, F.lit(1)), F.lit(bins))
     counts = (
         _resolved(df)
         .select(hours, lo.alias("lo"), hi.alias("hi"))

@@ -70,12 +70,17 @@ def term_counts(
     """(id, term, tf) for every distinct term of every text.
 
     The texts are partitioned by id before they are taken apart; counting per (id, term)
-    then needs no shuffle of the much larger n-grams.
+    then needs no shuffle of the much larger n-grams. The outer explode keeps Spark
+    from testing for empty arrays first, which would take every text apart twice.
     """
     split = docs.select(id_col, text_col).repartition(id_col)
     split = split.select(id_col, tokens(F.col(text_col)).alias("tokens"))
-    terms = with_ngrams(split).select(id_col, F.explode("terms").alias("term"))
-    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = with_ngrams(split).select(id_col, F.explode_outer("terms").alias("term"))
+    return (
+        terms.where(F.col("term").isNotNull())
+        .groupBy(id_col, "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
 
 
 def vocabulary(counts: DataFrame, n_docs: int | Column) -> DataFrame:
@@ -122,19 +127,25 @@ def theme_sizes(groups: DataFrame) -> DataFrame:
 
 
 def theme_term_weights(
-    weights: DataFrame, groups: DataFrame, id_col: str = "ticket_id"
+    weights: DataFrame,
+    groups: DataFrame,
+    id_col: str = "ticket_id",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Mean weight of each term over all texts of its theme, texts without it included.
 
     Means are rounded to twelve places: sums differ in their last digits with the order
-    of addition, and equal means must stay equal to be ranked by term.
+    of addition, and equal means must stay equal to be ranked by term. `sizes`
+    (theme_id, count) saves counting the groups again.
     """
+    if sizes is None:
+        sizes = theme_sizes(groups)
     sums = (
         weights.join(groups.select(id_col, "theme_id"), id_col)
         .groupBy("theme_id", "term")
         .agg(F.sum("weight").alias("total"))
     )
-    return sums.join(theme_sizes(groups), "theme_id").select(
+    return sums.join(sizes, "theme_id").select(
         "theme_id",
         "term",
         F.round(F.col("total") / F.col("count"), 12).alias("mean_weight"),
