@@ -506,11 +506,9 @@ def _theme_queries() -> dict[str, Query]:
         """Whether the vector of a text is a unit vector or, without terms, zero."""
         docs = _documents(spark, sf_dir)
         n_docs = docs.count()
-        counts = terms.term_counts(docs)
-        vocab = terms.vocabulary(counts, n_docs)
-        found = semantic_vectors(
-            terms.weigh_terms(counts, vocab), docs, n_docs, vocab.count()
-        )
+        vocab = terms.vocabulary(docs, n_docs)
+        weights = terms.weigh_terms(terms.term_counts(docs), vocab)
+        found = semantic_vectors(weights, docs, n_docs, vocab.count())
         squares = F.transform(vector_to_array("features"), lambda x: x * x)
         length = F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
         return found.select("ticket_id", F.round(length, 6).alias("squared_length"))

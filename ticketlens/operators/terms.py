@@ -64,34 +64,47 @@ def with_ngrams(
     return df.withColumn(output_col, F.concat(*parts)).drop(*parts[1:])
 
 
+def _exploded(terms: DataFrame, *keys: str) -> DataFrame:
+    """One row per element of `terms`.
+
+    The outer explode keeps Spark from testing for empty arrays first, which would take
+    every text apart twice.
+    """
+    rows = terms.select(*keys, F.explode_outer("terms").alias("term"))
+    return rows.where(F.col("term").isNotNull())
+
+
 def term_counts(
     docs: DataFrame, id_col: str = "ticket_id", text_col: str = "Description_clean"
 ) -> DataFrame:
     """(id, term, tf) for every distinct term of every text.
 
     The texts are partitioned by id before they are taken apart; counting per (id, term)
-    then needs no shuffle of the much larger n-grams. The outer explode keeps Spark
-    from testing for empty arrays first, which would take every text apart twice.
+    then needs no shuffle of the much larger n-grams.
     """
-    split = docs.select(id_col, text_col).repartition(id_col)
-    split = split.select(id_col, tokens(F.col(text_col)).alias("tokens"))
-    terms = with_ngrams(split).select(id_col, F.explode_outer("terms").alias("term"))
-    return (
-        terms.where(F.col("term").isNotNull())
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    texts = docs.select(id_col, text_col).repartition(id_col)
+    split = texts.select(id_col, tokens(F.col(text_col)).alias("tokens"))
+    rows = _exploded(with_ngrams(split), id_col)
+    return rows.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def vocabulary(
+    docs: DataFrame, n_docs: int | Column, text_col: str = "Description_clean"
+) -> DataFrame:
+    """(term, idf) of the terms that are neither too rare nor too common.
 
-def vocabulary(counts: DataFrame, n_docs: int | Column) -> DataFrame:
-    """(term, idf) of the terms that are neither too rare nor too common."""
+    Repeated terms are removed inside each text, so counting texts per term
+    is a plain grouping that shrinks before its only shuffle.
+    """
     n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
+    split = with_ngrams(docs.select(tokens(F.col(text_col)).alias("tokens")))
+    rows = _exploded(split.select(F.array_distinct("terms").alias("terms")))
     df = F.col("df")
     frequent = df >= F.when(n >= SMALL_CORPUS, 2).otherwise(1)
     # With a single text the upper bound would remove every term.
     rare = (df <= MAX_DF * n) | (n <= 1)
     return (
-        counts.groupBy("term")
+        rows.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .where(frequent & rare)
         .select("term", (F.log((1 + n) / (1 + df)) + 1).alias("idf"))
@@ -118,7 +131,7 @@ def tfidf(
     """TF-IDF as a long table (id, term, weight)."""
     n = docs.select(F.count(F.lit(1))).scalar() if n_docs is None else n_docs
     counts = term_counts(docs, id_col, text_col)
-    return weigh_terms(counts, vocabulary(counts, n), id_col)
+    return weigh_terms(counts, vocabulary(docs, n, text_col), id_col)
 
 
 def theme_sizes(groups: DataFrame) -> DataFrame:
