@@ -23,7 +23,7 @@ from ticketlens.operators import cleaning, clusters, metrics, terms  # noqa: E40
 from ticketlens.operators import theme_tables as tables  # noqa: E402
 from ticketlens.operators.vectors import semantic_vectors  # noqa: E402
 from ticketlens.plans.pipeline import enrich_tickets  # noqa: E402
-from ticketlens.plans.report import report_rollup, report_tables  # noqa: E402
+from ticketlens.plans.report import report_tables  # noqa: E402
 from ticketlens.plans.themes import build_themes  # noqa: E402
 from ticketlens.session import scratch_path, spread  # noqa: E402
 from ticketlens.sources import (  # noqa: E402
@@ -199,7 +199,7 @@ def _metric_queries() -> dict[str, Query]:
     def report(spark, sf_dir):
         """Every number of the report as (table_name, item, amount)."""
         tickets = _timed(spark, sf_dir, with_people=True)
-        report = report_tables(tickets, rollup=report_rollup(tickets).persist())
+        report = report_tables(tickets)
         keys = {
             "tickets_per_day": ("Date", "tickets"),
             "count_by_tipo": ("Tipo", "count"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.functions import BUCKET_LABELS, aging_bucket
 from ticketlens.operators import metrics as m
-from ticketlens.plans.report import report_rollup, report_tables, write_report
+from ticketlens.plans.report import report_tables, write_report
 
 NOW = dt.datetime(2024, 1, 31, 12)
 DAY = dt.timedelta(days=1)
@@ -245,7 +245,7 @@ def test_report_equals_single_operators(timed, rows, tmp_path, spark):
         "aging_buckets_open_tickets": m.aging_buckets_open_tickets(tickets),
         "created_vs_resolved_per_day": m.created_vs_resolved_per_day(tickets),
     }
-    together = report_tables(tickets, 24, rollup=report_rollup(tickets, 24).persist())
+    together = report_tables(tickets, 24)
     assert set(together) == set(single) | {"resolution_time_by_tipo"}
     for name, table in single.items():
         assert together[name].columns == table.columns, name

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.operators import metrics as m
+from ticketlens.session import reliable_checkpoint
 
 ROLLUP_KEYS = [
     "Date",
@@ -65,11 +66,11 @@ def report_tables(
 ) -> dict[str, DataFrame]:
     """The tables of the report by name.
 
-    Pass a persisted `report_rollup(df, sla_threshold_hours)` to share it between tables;
-    only the histogram then reads the tickets again.
+    The rollup is computed at once and checkpointed; all tables are read off it, and only
+    the histogram goes over the tickets again. A rollup computed before can be passed in.
     """
     if rollup is None:
-        rollup = report_rollup(df, sla_threshold_hours)
+        rollup = reliable_checkpoint(report_rollup(df, sla_threshold_hours))
 
     def cut(name: str) -> DataFrame:
         return rollup.where(F.col("slice") == name)
@@ -87,14 +88,14 @@ def report_tables(
         F.coalesce(F.sum("resolved_count"), F.lit(0)).alias("resolved_count"),
         F.coalesce(F.sum("within_sla_count"), F.lit(0)).alias("within_sla_count"),
     )
-    day_events = counts("Date", "Date", "created").withColumn("resolved", F.lit(0))
-    resolutions = counts("ResolvedDate", "Date", "resolved")
+    tickets = F.col("tickets")
+    day = F.coalesce("Date", "ResolvedDate")
     days = (
-        day_events.unionByName(resolutions, allowMissingColumns=True)
-        .groupBy("Date")
+        rollup.where(F.col("slice").isin("Date", "ResolvedDate") & day.isNotNull())
+        .groupBy(day.alias("Date"))
         .agg(
-            F.coalesce(F.sum("created"), F.lit(0)).alias("created"),
-            F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved"),
+            F.sum(F.when(F.col("slice") == "Date", tickets).otherwise(0)).alias("created"),
+            F.sum(F.when(F.col("slice") == "Date", 0).otherwise(tickets)).alias("resolved"),
         )
     )
 
@@ -131,10 +132,5 @@ def write_report(
     bins: int = m.HISTOGRAM_BINS,
 ) -> None:
     """Write every report table to its own Parquet folder under `path`."""
-    rollup = report_rollup(df, sla_threshold_hours).persist()
-    try:
-        tables = report_tables(df, sla_threshold_hours, bins, rollup)
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
-    finally:
-        rollup.unpersist()
+    for name, table in report_tables(df, sla_threshold_hours, bins).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
@@ -18,7 +20,9 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ticketlens-checkpoint-"))
+        folder = tempfile.TemporaryDirectory(prefix="ticketlens-checkpoint-")
+        _local_folders.append(folder)  # removed when the process ends
+        sc.setCheckpointDir(folder.name)
     else:
         raise ValueError(
             "spark.checkpoint.dir is not set: name a folder that every executor can reach"

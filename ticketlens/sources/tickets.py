@@ -138,7 +138,7 @@ def normalize_tickets(df: DataFrame, id_column: str | None = None) -> DataFrame:
             for f in df.schema
         ]
     )
-    if "ticket_id" not in df.columns:
+    if id_column is not None or "ticket_id" not in df.columns:
         df = with_ticket_id(df, id_column)
     df = ensure_columns(apply_aliases(df))
     df = df.withColumns(
