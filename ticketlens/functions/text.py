@@ -20,7 +20,6 @@ _S = r"\s\x1c-\x1f"
 _FLAGS = "(?iuU)"
 _WORD_START = rf"(?<![{_W}])"
 _WORD_END = rf"(?![{_W}])"
-_BOUNDARY = rf"(?:(?<=[{_W}])(?![{_W}])|(?<![{_W}])(?=[{_W}]))"
 
 # --- Fixed values: what is removed from descriptions, in order ---------------
 IMAGE_EXTENSIONS = "png|jpg|jpeg|gif|webp|svg|bmp|heic"
@@ -30,7 +29,7 @@ SMART_LINK = r"\[[^\]]+\|https?://[^\]|]+(?:\|smart-link)?\]"
 IMAGE_EMBED = rf"![^!\n]*\.(?:{IMAGE_EXTENSIONS})(?:\|[^!\n]*)?!"
 MARKDOWN_IMAGE = r"!\[[^\]]*\]\([^)]+\)"
 IMG_TAG = rf"<img{_WORD_END}[^>]*>"
-IMAGE_FILENAME = rf"{_BOUNDARY}[{_W}\-.]+\.(?:{IMAGE_EXTENSIONS}){_WORD_END}"
+IMAGE_FILENAME = rf"{_WORD_START}[{_W}][{_W}\-.]*\.(?:{IMAGE_EXTENSIONS}){_WORD_END}"
 IMAGE_ATTR = (
     rf"{_WORD_START}(?:alt|width|height)[{_S}]*=[{_S}]*"
     rf"(?:\"[^\"]*\"|'[^']*'|[^{_S},;]+)"
@@ -120,7 +119,11 @@ def _combining_class() -> str:
 
 
 def fold_text(text: Column) -> Column:
-    """Compatibility decomposition, combining marks removed, lower case."""
+    """Compatibility decomposition, combining marks removed, lower case.
+
+    Spark treats a method called by name as non-deterministic: select the
+    result into a column before aggregating it.
+    """
     decomposed = F.reflect(
         F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True)
     )
