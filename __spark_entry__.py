@@ -161,7 +161,8 @@ def _given_themes(given: dict[str, DataFrame]) -> DataFrame:
 
 
 def _given_ticket_themes(given: dict[str, DataFrame]) -> DataFrame:
-    return tables.ticket_themes_table(*[given[k] for k in ("docs", "groups", "top", "representatives")])
+    parts = ("docs", "groups", "top", "representatives")
+    return tables.ticket_themes_table(*[given[name] for name in parts])
 
 
 def _rounded(df: DataFrame) -> DataFrame:

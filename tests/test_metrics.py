@@ -1,13 +1,17 @@
 """Metric operators on the edge rows of a ticket table."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from ticketlens.functions import BUCKET_LABELS, aging_bucket
 from ticketlens.operators import metrics as m
 from ticketlens.plans.report import report_tables, write_report
+from ticketlens.sources import sample_tables
+from ticketlens.sources.sample_tables import order_tickets
 
 NOW = dt.datetime(2024, 1, 31, 12)
 DAY = dt.timedelta(days=1)
@@ -188,7 +192,11 @@ def test_count_order_and_top(frame, rows):
 def test_created_vs_resolved_counts_negative_spans(timed, rows):
     day = dt.datetime(2024, 1, 5)
     tickets = timed(
-        [ticket(1, day, resolved=day - 2 * DAY), ticket(2, day, resolved=day + DAY), ticket(3, day)]
+        [
+            ticket(1, day, resolved=day - 2 * DAY),
+            ticket(2, day, resolved=day + DAY),
+            ticket(3, day),
+        ]
     )
     assert rows(m.created_vs_resolved_per_day(tickets)) == [
         (dt.date(2024, 1, 3), 0, 1),
@@ -281,3 +289,41 @@ def test_date_range_reaches_the_reader(spark, frame, tmp_path):
     plan = kept.select("ticket_id")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(Created_dt" in plan
     assert "ReadSchema: struct<ticket_id:bigint,Created_dt:timestamp_ntz>" in plan
+
+
+@pytest.fixture(scope="module")
+def sample(spark):
+    if not os.path.isdir(SMOKE_DIR):
+        pytest.skip("no sample tables")
+    tickets = order_tickets(spark, SMOKE_DIR, with_people=True)
+    return m.add_time_metrics(tickets, sample_tables.NOW).cache()
+
+
+def test_parts_add_up(sample):
+    """Sums over any breakdown give the totals."""
+    kpis, sla = m.kpis(sample).first(), m.sla_compliance(sample).first()
+    total = sample.count()
+    assert kpis.total_tickets == total
+    assert 0 <= sla.within_sla_count <= sla.resolved_count <= total
+
+    def sum_of(table, column):
+        return table.agg(F.sum(column)).first()[0]
+
+    for column in ("Status", "Tipo", "Reporter", "Agencia"):
+        assert sum_of(m.count_by_column(sample, column), "count") == total
+    assert sum_of(m.tickets_per_day(sample), "tickets") == total
+    balance = m.created_vs_resolved_per_day(sample)
+    assert sum_of(balance, "created") == total
+    effective = sample.where("resolution_effective_dt is not null").count()
+    assert sum_of(balance, "resolved") == effective
+    assert sum_of(m.resolution_time_histogram(sample, 7), "count") == sla.resolved_count
+    still_open = sample.where("Status <> 'Done' and aging_hours is not null").count()
+    assert sum_of(m.aging_buckets_open_tickets(sample), "count") == still_open
+
+
+def test_filters_commute(sample):
+    window, statuses = ("1996-01-01", "1997-12-31"), ["Done", "In Progress"]
+    one = m.apply_filters(m.apply_filters(sample, window), statuses=statuses)
+    other = m.apply_filters(m.apply_filters(sample, statuses=statuses), window)
+    both = m.apply_filters(sample, window, statuses)
+    assert m.kpis(one).first() == m.kpis(other).first() == m.kpis(both).first()

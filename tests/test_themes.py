@@ -35,7 +35,8 @@ def planted(per_topic, seed=3):
     return docs
 
 
-SCHEMA = "ticket_id long, topic string, Summary string, Description string, Description_clean string"
+SCHEMA = """ticket_id long, topic string, Summary string, Description string,
+    Description_clean string"""
 
 
 @pytest.fixture
@@ -148,7 +149,7 @@ def test_select_k():
 def corpus(tickets):
     """Planted texts, two of them without terms, with weights and their matrix."""
     docs = planted(30)
-    docs += [(1000, "none", "s", "d", "12 34 56 78 90 12 34 56"), (1001, "none", "s", "d", "1 " * 20)]
+    docs += [(1000 + i, "none", "s", "d", text) for i, text in enumerate(["12 34 " * 5, "1 " * 20])]
     frame = tickets(docs)
     weights = tm.tfidf(frame).cache()
     vocab = sorted(r.term for r in weights.select("term").distinct().collect())
@@ -245,7 +246,10 @@ def test_planted_groups_are_found(tickets):
         assert t.example_summaries == " | ".join(r.Summary for r in reps)
 
 
-@pytest.mark.parametrize("n_docs, k, silhouette", [(1, 1, False), (2, 2, False), (8, 8, False), (9, 8, True)])
+@pytest.mark.parametrize(
+    "n_docs, k, silhouette",
+    [(1, 1, False), (2, 2, False), (8, 8, False), (9, 8, True)],
+)
 def test_number_of_themes_for_few_texts(n_docs, k, silhouette, tickets):
     result = build_themes(tickets(planted(4)[:n_docs]))
     assert result.selected_k == k
@@ -284,7 +288,12 @@ THEMES = "theme_id int, label string, count long, keywords string, example_summa
 
 def test_sentences(spark):
     themes = spark.createDataFrame(
-        [(0, "uno", 9, "a, b, c, d", ""), (1, "dos", 5, "", ""), (2, " ", 1, "", ""), (3, "tres", 2, "x", "")],
+        [
+            (0, "uno", 9, "a, b, c, d", ""),
+            (1, "dos", 5, "", ""),
+            (2, " ", 1, "", ""),
+            (3, "tres", 2, "x", ""),
+        ],
         THEMES,
     )
     members = spark.createDataFrame(
@@ -303,7 +312,9 @@ def test_sentences(spark):
         "y casos como: - Falla\nsegunda; otra."
     )
     second = tt.top_theme_sentence(themes.where("theme_id = 1"), members).first().sentence
-    assert second == "El tema principal (5 tickets) es 'dos', con casos como: sin ejemplos destacados."
+    assert second == (
+        "El tema principal (5 tickets) es 'dos', con casos como: sin ejemplos destacados."
+    )
 
 
 def test_ranks_and_parameters(spark):
@@ -312,5 +323,5 @@ def test_ranks_and_parameters(spark):
     assert [(r["rank"], r.theme_id) for r in ranked] == [(1, 2), (2, 3), (3, 4)]
     assert [r.theme_id for r in tt.top_themes(themes, 2).collect()] == [2, 3]
     assert tt.theme_params(12) == {"top_keywords": 12, "label_terms": 6, "top_representatives": 6}
-    assert tt.theme_params(20)["label_terms"] == 8 and tt.theme_params(20)["top_representatives"] == 10
-    assert tt.theme_params(4)["label_terms"] == 3 == tt.theme_params(4)["top_representatives"]
+    assert tt.theme_params(20) == {"top_keywords": 20, "label_terms": 8, "top_representatives": 10}
+    assert tt.theme_params(4) == {"top_keywords": 4, "label_terms": 3, "top_representatives": 3}

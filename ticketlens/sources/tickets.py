@@ -70,7 +70,7 @@ def _first_of_repeated_headers(raw: DataFrame) -> DataFrame:
 
 
 def apply_aliases(df: DataFrame) -> DataFrame:
-    """Rename the alias columns of the second layout; a standard column wins where it has a value."""
+    """Rename the columns of the second layout; a standard column wins where it has a value."""
     for alias, standard in COLUMN_ALIASES.items():
         if alias not in df.columns:
             continue
