@@ -88,27 +88,38 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:
 
 def all_facet_values(df: DataFrame) -> DataFrame:
     """Distinct values of every facet in one pass, as (facet, value)."""
-    grouped = df.groupingSets([[c] for c in FACETS], *FACETS).agg(
-        F.grouping_id().alias("set_id")
-    )
     return (
-        grouped.select(
-            slice_name(FACETS).alias("facet"), F.coalesce(*FACETS).alias("value")
-        )
-        .where(F.col("value").isNotNull())
+        grouped_by_each(df.select(FACETS), FACETS)
+        .where(F.col("slice") != "")
+        .select(F.col("slice").alias("facet"), F.col("key").alias("value"))
         .orderBy("facet", "value")
     )
 
 
-def slice_name(keys: list[str]) -> Column:
-    """Name of the single key a grouping-set row is grouped by, from `set_id`."""
-    everything = 2 ** len(keys) - 1
-    name = F.when(F.col("set_id") == everything, "")
-    for position, key in enumerate(keys):
-        name = name.when(
-            F.col("set_id") == everything - 2 ** (len(keys) - 1 - position), key
-        )
-    return name
+def grouped_by_each(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+    """`df` grouped by each text column on its own and as a whole, in one pass.
+
+    Returns (slice, key, aggregates): `slice` names the column whose value is `key`,
+    and is empty for the row of totals. Null values form no group. Every row is turned into
+    one short (number, value) pair per column, which hashes faster than the wide,
+    mostly empty keys of grouping sets.
+    """
+    names = ["", *keys]
+    values = [F.lit(""), *[F.col(key) for key in keys]]
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("slice"), value.alias("key"))
+            for i, value in enumerate(values)
+        ]
+    )
+    grouped = (
+        df.select("*", F.inline(pairs))
+        .where(F.col("key").isNotNull())
+        .groupBy("slice", "key")
+    )
+    rows = grouped.agg(*aggregates) if aggregates else grouped.count().drop("count")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slice") + 1)
+    return rows.withColumn("slice", name)
 
 
 def date_bounds(df: DataFrame) -> DataFrame:
@@ -153,22 +164,20 @@ def kpis(df: DataFrame) -> DataFrame:
     """One row of key figures, from a single pass over the tickets."""
     if "Agencia" not in df.columns:
         df = df.withColumn("Agencia", F.lit("N/A"))
-    grouped = (
-        df.select(
-            "Date",
-            F.coalesce("Tipo", F.lit("Unknown")).alias("Tipo"),
-            F.coalesce("Agencia", F.lit("Unknown")).alias("Agencia"),
-            (~is_closed(F.col("Status"))).alias("is_open"),
-        )
-        .groupingSets([[]] + [[c] for c in KPI_KEYS], *KPI_KEYS)
-        .agg(
-            F.grouping_id().alias("set_id"),
+    pruned = df.select(
+        "Date",
+        F.coalesce("Tipo", F.lit("Unknown")).alias("Tipo"),
+        F.coalesce("Agencia", F.lit("Unknown")).alias("Agencia"),
+        (~is_closed(F.col("Status"))).alias("is_open"),
+    )
+    return finish_kpis(
+        grouped_by_each(
+            pruned,
+            KPI_KEYS,
             F.count(F.lit(1)).alias("tickets"),
             F.count_if("is_open").alias("open_tickets"),
         )
-        .withColumn("slice", slice_name(KPI_KEYS))
     )
-    return finish_kpis(grouped)
 
 
 def finish_kpis(grouped: DataFrame) -> DataFrame:
@@ -176,13 +185,13 @@ def finish_kpis(grouped: DataFrame) -> DataFrame:
         return F.when(F.col("slice") == name, value)
 
     def most_common(name: str) -> Column:
-        order = of_slice(name, F.struct(-F.col("tickets"), F.col(name)))
-        return F.coalesce(F.min_by(name, order), F.lit("N/A"))
+        order = of_slice(name, F.struct(-F.col("tickets"), F.col("key")))
+        return F.coalesce(F.min_by("key", order), F.lit("N/A"))
 
     totals = grouped.where(F.col("slice").isin([""] + KPI_KEYS)).agg(
         F.coalesce(F.max(of_slice("", F.col("tickets"))), F.lit(0)).alias("total"),
         F.coalesce(F.max(of_slice("", F.col("open_tickets"))), F.lit(0)).alias("open"),
-        F.greatest(F.count(of_slice("Date", F.col("Date"))), F.lit(1)).alias("days"),
+        F.greatest(F.count(of_slice("Date", F.col("key"))), F.lit(1)).alias("days"),
         most_common("Tipo").alias("top_tipo"),
         most_common("Agencia").alias("top_agencia"),
     )

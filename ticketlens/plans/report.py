@@ -25,9 +25,8 @@ TOP_AGENCIAS = 20
 def report_rollup(df: DataFrame, sla_threshold_hours: float = 48.0) -> DataFrame:
     """Everything the report counts or averages, grouped once.
 
-    Each grouping set has one key, so the result has a row per day, type,
-    reporter, status, branch and bucket; partial aggregation shrinks it before the shuffle.
-    `slice` names the key of a row and is empty for the totals.
+    The result has a row per day, type, reporter, status, branch and bucket, and one of
+    totals; partial aggregation shrinks it before the shuffle.
     """
     hours = F.col("resolution_time_hours")
     pruned = df.select(
@@ -41,20 +40,16 @@ def report_rollup(df: DataFrame, sla_threshold_hours: float = 48.0) -> DataFrame
         hours,
         (~m.is_closed(F.col("Status"))).alias("is_open"),
     )
-    return (
-        pruned.groupingSets([[]] + [[c] for c in ROLLUP_KEYS], *ROLLUP_KEYS)
-        .agg(
-            F.grouping_id().alias("set_id"),
-            F.count(F.lit(1)).alias("tickets"),
-            F.count_if("is_open").alias("open_tickets"),
-            F.count(hours).alias("resolved_count"),
-            F.count_if(hours <= float(sla_threshold_hours)).alias("within_sla_count"),
-            F.avg(hours).alias("avg_resolution_time_hours"),
-            F.min(hours).alias("lo"),
-            F.max(hours).alias("hi"),
-        )
-        .withColumn("slice", m.slice_name(ROLLUP_KEYS))
-        .drop("set_id")
+    return m.grouped_by_each(
+        pruned,
+        ROLLUP_KEYS,
+        F.count(F.lit(1)).alias("tickets"),
+        F.count_if("is_open").alias("open_tickets"),
+        F.count(hours).alias("resolved_count"),
+        F.count_if(hours <= float(sla_threshold_hours)).alias("within_sla_count"),
+        F.avg(hours).alias("avg_resolution_time_hours"),
+        F.min(hours).alias("lo"),
+        F.max(hours).alias("hi"),
     )
 
 
@@ -76,26 +71,30 @@ def report_tables(
         return rollup.where(F.col("slice") == name)
 
     def counts(name: str, key: str, count: str) -> DataFrame:
-        rows = cut(name).where(F.col(name).isNotNull())
-        return rows.select(F.col(name).alias(key), F.col("tickets").alias(count))
+        return cut(name).select(
+            F.col("key").alias(key), F.col("tickets").alias(count)
+        )
 
     def means(name: str) -> DataFrame:
-        rows = cut(name).where(F.col(name).isNotNull() & (F.col("resolved_count") > 0))
-        return rows.select(name, "avg_resolution_time_hours")
+        return (
+            cut(name)
+            .where(F.col("resolved_count") > 0)
+            .select(F.col("key").alias(name), "avg_resolution_time_hours")
+        )
 
     # Totals are re-aggregated so that an empty table still gives its row of zeros.
     sla = cut("").agg(
         F.coalesce(F.sum("resolved_count"), F.lit(0)).alias("resolved_count"),
         F.coalesce(F.sum("within_sla_count"), F.lit(0)).alias("within_sla_count"),
     )
+    created = F.col("slice") == "Date"
     tickets = F.col("tickets")
-    day = F.coalesce("Date", "ResolvedDate")
     days = (
-        rollup.where(F.col("slice").isin("Date", "ResolvedDate") & day.isNotNull())
-        .groupBy(day.alias("Date"))
+        rollup.where(F.col("slice").isin("Date", "ResolvedDate"))
+        .groupBy(F.col("key").alias("Date"))
         .agg(
-            F.sum(F.when(F.col("slice") == "Date", tickets).otherwise(0)).alias("created"),
-            F.sum(F.when(F.col("slice") == "Date", 0).otherwise(tickets)).alias("resolved"),
+            F.sum(F.when(created, tickets).otherwise(0)).alias("created"),
+            F.sum(F.when(created, 0).otherwise(tickets)).alias("resolved"),
         )
     )
 
