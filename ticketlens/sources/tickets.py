@@ -102,26 +102,40 @@ def with_ticket_id(df: DataFrame, id_column: str | None = None) -> DataFrame:
     """Add `ticket_id`, stable under any partitioning.
 
     With a key column the ids are its values. Without one, a ticket is named by the
-    digest of its cells and its copy number: equal rows are first counted (combined map
-    side) and then written out again in bounded runs spread over tasks, so that
-    a group of copies of any size never sits in one task.
+    digest of its cells and its copy number: equal rows are counted (combined map
+    side) and then written out again. Groups of very many copies are first cut
+    into bounded runs spread over tasks, so a group of any size never sits in one task;
+    all other rows go through a single shuffle.
     """
     if id_column is not None:
         return df.withColumn("ticket_id", _name(id_column))
     cells = [_name(c) for c in df.columns]
     counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__copies"))
-    last_run = ((F.col("__copies") - 1) / COPIES_PER_TASK).cast("long")
-    runs = counted.withColumn(
-        "__digest",
-        F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})),
-    ).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), last_run)))
+    copies = F.col("__copies")
+    digest = F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
+    counted = counted.withColumn("__digest", digest)
+
+    few = counted.where(copies <= COPIES_PER_TASK).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
+    )
+    run = F.explode(
+        F.sequence(
+            F.lit(0).cast("long"), ((copies - 1) / COPIES_PER_TASK).cast("long")
+        )
+    )
     first = F.col("__run") * COPIES_PER_TASK
-    last = F.least(F.col("__copies"), first + COPIES_PER_TASK) - 1
-    return (
-        runs.repartition("__digest", "__run")
+    last = F.least(copies, first + COPIES_PER_TASK) - 1
+    many = (
+        counted.where(copies > COPIES_PER_TASK)
+        .withColumn("__run", run)
+        .repartition("__digest", "__run")
         .withColumn("__copy", F.explode(F.sequence(first, last)))
+        .drop("__run")
+    )
+    return (
+        few.unionByName(many)
         .withColumn("ticket_id", F.concat_ws("-", "__digest", "__copy"))
-        .drop("__copies", "__digest", "__run", "__copy")
+        .drop("__copies", "__digest", "__copy")
     )
 
 
