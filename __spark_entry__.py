@@ -549,11 +549,26 @@ def queries() -> dict[str, Query]:
     def rounded(query: Query) -> Query:
         return lambda spark, sf_dir: _rounded(query(spark, sf_dir))
 
-    return {name: rounded(query) for name, query in every.items()}
+    return {name: rounded(query) for name, query in every.items()} | _corpus_queries()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB that gives the same rows; learned clusters have none."""
     from expected_sql import EXPECTED
 
-    return dict(EXPECTED)
+    return dict(EXPECTED) | _corpus_queries()[1]
+
+
+def _corpus_queries() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the corpus operators, where that part of the library is present."""
+    try:
+        import corpus_pipeline
+        from ticketlens.llm import queries as corpus
+    except ModuleNotFoundError as error:
+        if error.name not in ("corpus_pipeline", "ticketlens.llm"):
+            raise
+        return {}, {}
+    sql = corpus.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus.queries() | {"pipeline": corpus_pipeline.run}, sql
