@@ -1,0 +1,10 @@
+"""Operators for preparing training text: cleaning out, scoring, tokenising and writing corpora.
+
+What tasks run of this package travels with them, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
