@@ -16,6 +16,9 @@ CACHE_ENTRIES = 400_000
 #: Longer chunks are computed each time they occur.
 LONGEST_CACHED = 64
 
+#: White space before a space: where these occur, a space is not the start of a chunk.
+_RUNS = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def split_chunks(text: str) -> list[str]:
     """The chunks of `text`; joined they give `text`, and each can be tokenised alone.
@@ -24,6 +27,10 @@ def split_chunks(text: str) -> list[str]:
     ['one', '  two\\n three']
     """
     parts = text.split(" ")
+    if not any(run in text for run in _RUNS):
+        chunks = [" " + part for part in parts]
+        chunks[0] = parts[0]
+        return chunks if parts[0] else chunks[1:]
     chunks = [parts[0]]
     for part in parts[1:]:
         last = chunks[-1]

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlens.llm import bpe, exact_dedup
+from ticketlens.llm import bpe, exact_dedup, token_counts, token_files
 from ticketlens.llm.common import table, tokenizer_path
+from ticketlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return token_files.read_token_digests(spark, path)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -26,6 +41,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_bpe": op2_bpe,
+        "op6_token_files": op6_token_files,
+        "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
