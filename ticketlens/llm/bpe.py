@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ticketlens.llm.common import batch, ids_and_texts, read_bytes, sql_type, worker_cache
-from ticketlens.llm.pretokens import ChunkCache
+from ticketlens.llm.pretokens import CACHE_ENTRIES, LONGEST_CACHED, ChunkCache
 
 _NO_PAIR = 1 << 62
 
@@ -98,16 +98,20 @@ class Codec:
         self.pieces = regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.cache = ChunkCache(self._encode_chunks)
+        self.known: dict[str, list[int]] = {}  # by pre-token; bounded like the chunks
 
     def _encode_chunks(self, chunks: Sequence[str]) -> list[tuple[int, ...]]:
-        return [
-            tuple(
-                chain.from_iterable(
-                    encode_piece(piece.encode(), self.ranks) for piece in self.pieces(chunk)
-                )
-            )
-            for chunk in chunks
-        ]
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        return [tuple(chain.from_iterable(map(self._encode_piece, self.pieces(c)))) for c in chunks]
+
+    def _encode_piece(self, piece: str) -> list[int]:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = encode_piece(piece.encode(), self.ranks)
+            if len(piece) <= LONGEST_CACHED:
+                self.known[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.cache.values(text)))

@@ -57,26 +57,24 @@ class ChunkCache:
     def values(self, text: str) -> list[Any]:
         """The values of the chunks of `text`, in order."""
         first, *rest = text.split(" ")
+        if first and first[-1].isspace():
+            return self._plain(text)
         found = list(map(self.get, rest))
         if None in found:
             missing = {part for part, value in zip(rest, found) if value is None}
             if any(not part or part[-1].isspace() for part in missing):
                 return self._plain(text)
-            self._learn(missing)
-            if len(self.known) > self.entries or max(map(len, missing)) > LONGEST_CACHED:
-                return self._plain(text)
-            found = list(map(self.get, rest))
-        if not first:
-            return found
-        if first[-1].isspace():
-            return self._plain(text)
-        return [*self.compute([first]), *found]
+            if len(self.known) + len(missing) > self.entries:
+                self.known.clear()
+                missing = set(rest)
+            found = self._learned(rest, missing)
+        return [*self.compute([first]), *found] if first else found
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) > self.entries:
-            self.known.clear()
-        short = [part for part in parts if len(part) <= LONGEST_CACHED]
-        self.known.update(zip(short, self.compute([" " + part for part in short])))
+    def _learned(self, parts: list[str], missing: set[str]) -> list[Any]:
+        new = list(missing)
+        values = dict(zip(new, self.compute([" " + part for part in new])))
+        self.known.update((k, v) for k, v in values.items() if len(k) <= LONGEST_CACHED)
+        return [values[part] if part in values else self.known[part] for part in parts]
 
     def _plain(self, text: str) -> list[Any]:
         chunks = split_chunks(text)
