@@ -30,6 +30,33 @@ def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+#: A group is large when it holds more than a 10,000th of all rows, so at most 10,000 are.
+LARGE_GROUPS = 10_000
+#: And it has more than so many rows.
+LARGE_GROUP_ROWS = 20_000
+
+
+def attach_groups(
+    rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, n_rows: int
+) -> DataFrame:
+    """`rows` left-joined with the one row of `groups` (no null in it) that has their keys.
+
+    The few groups of very many rows are broadcast, at most LARGE_GROUPS of them; rows of all others
+    are shuffled, where no key is hot.
+    """
+    large = max(LARGE_GROUP_ROWS, n_rows // LARGE_GROUPS)
+    added = [name for name in groups.columns if name not in keys]
+    hot = groups.where(F.col(size_col) > large)
+    hot = hot.withColumnsRenamed({name: f"hot_{name}" for name in added})
+    found = rows.join(F.broadcast(hot), keys, "left")
+    in_hot = F.col(f"hot_{size_col}").isNotNull()
+    names = [*rows.columns, *added]
+    large_ones = found.where(in_hot).withColumnsRenamed({f"hot_{name}": name for name in added})
+    others = found.where(~in_hot).select(*rows.columns)
+    others = others.join(groups.where(F.col(size_col) <= large), keys, "left")
+    return others.select(*names).unionByName(large_ones.select(*names))
+
+
 def held_out(id_column: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves `part` when divided by `parts`; false for null."""
     digest = F.crc32(F.col(id_column).cast("string").cast("binary"))

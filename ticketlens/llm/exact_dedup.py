@@ -13,15 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ticketlens.llm.common import WHITE_SPACE, ids_and_texts
+from ticketlens.llm.common import WHITE_SPACE, attach_groups, ids_and_texts
 from ticketlens.session import reliable_checkpoint
 
 #: Parts that copies of one text are dealt to before the winners meet.
 SALTS = 64
-#: A group is large when it holds more than a 10,000th of all rows, so at most 10,000 are.
-LARGE_GROUPS = 10_000
-#: And it has at least so many rows.
-LARGE_GROUP_ROWS = 20_000
 
 
 def normalised(text: Column) -> Column:
@@ -46,24 +42,14 @@ def exact_groups(
     texts = ids_and_texts(docs, id_col, text_col).withColumn("text", normalised(F.col("text")))
     hashed = texts.withColumns(_digest(F.col("text")))
     winners = reliable_checkpoint(_repeated(hashed, salts))
-    large = max(LARGE_GROUP_ROWS, docs.count() // LARGE_GROUPS)
-    hot = winners.where(F.col("group_size") > large).select(
-        "digest", "mark", F.col("group_size").alias("hot_size"), F.col("keep").alias("hot_keep")
-    )
-    cold = winners.where(F.col("group_size") <= large)
     rows = hashed.select("doc_id", "digest", "mark")
-    found = rows.join(F.broadcast(hot), ["digest", "mark"], "left")
-    alone = found.where("hot_size is null").join(cold, ["digest", "mark"], "left")
+    found = attach_groups(rows, winners, ["digest", "mark"], "group_size", docs.count())
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    numbered = alone.select(
+    numbered = found.select(
         "doc_id",
         "digest",
         F.coalesce("keep", own).alias("keep"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-    ).unionByName(
-        found.where("hot_size is not null").select(
-            "doc_id", "digest", F.col("hot_keep").alias("keep"), F.col("hot_size").alias("group_size")
-        )
     )
     return numbered.select(
         "doc_id",
