@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlens.llm import bpe, exact_dedup, near_dedup, token_counts, token_files
+from ticketlens.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    near_dedup,
+    quality,
+    token_counts,
+    token_files,
+)
 from ticketlens.llm.common import table, tokenizer_path
 from ticketlens.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +34,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenizer = tokenizer_path("byte_bpe_50k.json")
@@ -44,7 +62,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
+        "op4_quality": op4_quality,
         "op6_token_files": op6_token_files,
         "op8_near_dedup": op8_near_dedup,
         "op9_token_counts": op9_token_counts,
@@ -53,7 +73,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_near_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op8_near_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
 
 
 OP10_SQL = r"""
@@ -88,3 +108,25 @@ shared AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
 FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws
+  FROM benchmark
+), dw AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+bw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS j FROM b WHERE len(ws) >= 5),
+m AS (SELECT doc_id, item_id, n, i - j AS shift, j FROM dw JOIN bw USING (w)),
+wins AS (
+  SELECT doc_id, item_id, n, shift, count(*) OVER (
+    PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k
+  FROM m
+), best AS (
+  SELECT doc_id, item_id, n, shift, max(k) AS k FROM wins GROUP BY doc_id, item_id, n, shift
+  HAVING max(k) >= CASE WHEN n >= 10 THEN least(n, 13) - 2 ELSE n END
+)
+SELECT doc_id, item_id, k AS n_matched, least(n, 13) AS n_window, shift AS first_token, n AS item_tokens
+FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, shift) = 1
+"""
