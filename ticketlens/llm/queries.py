@@ -11,6 +11,7 @@ from ticketlens.llm import (
     decontaminate,
     exact_dedup,
     near_dedup,
+    personal_data,
     quality,
     token_counts,
     token_files,
@@ -34,6 +35,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digests(personal_data.personal_spans(table(spark, sf_dir, "documents")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_bpe": op2_bpe,
+        "op3_personal_data": op3_personal_data,
         "op4_quality": op4_quality,
         "op6_token_files": op6_token_files,
         "op8_near_dedup": op8_near_dedup,
