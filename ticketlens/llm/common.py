@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import types
@@ -57,6 +58,23 @@ def attach_groups(
     return others.select(*names).unionByName(large_ones.select(*names))
 
 
+def frequent_from(counts: DataFrame, most: int, steps: int = 16) -> int:
+    """The least count for which at most `most` rows of `counts` have that count or a larger one.
+
+    Rounded up to a `steps`-th of a power of two, so a few hundred sums decide, whatever the table.
+    """
+    step = F.floor(F.log2(F.col("count")) * steps).cast("int")
+    sums = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    total, least = 0, None
+    for row in sorted(sums, key=lambda row: -row["step"]):
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["step"]
+    # A little less than the exact edge, as logarithms are rounded.
+    return 1 << 62 if least is None else max(1, math.ceil(2 ** (least / steps) * (1 - 1e-9)))
+
+
 def held_out(id_column: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves `part` when divided by `parts`; false for null."""
     digest = F.crc32(F.col(id_column).cast("string").cast("binary"))

@@ -10,6 +10,7 @@ from ticketlens.llm import (
     bpe,
     decontaminate,
     exact_dedup,
+    language_model,
     near_dedup,
     personal_data,
     quality,
@@ -43,6 +44,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenizer = tokenizer_path("byte_bpe_50k.json")
@@ -71,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op2_bpe": op2_bpe,
         "op3_personal_data": op3_personal_data,
         "op4_quality": op4_quality,
+        "op5_language_model": op5_language_model,
         "op6_token_files": op6_token_files,
         "op8_near_dedup": op8_near_dedup,
         "op9_token_counts": op9_token_counts,
