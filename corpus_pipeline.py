@@ -1,22 +1,38 @@
 """The corpus pipeline: documents go through the stages, each written and read again by the next.
 
-STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame.
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but
+the last return the columns of `docs`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlens.llm import bpe, exact_dedup
+from ticketlens.llm import bpe, decontaminate, exact_dedup, near_dedup, quality
 from ticketlens.llm.common import table, tokenizer_path
 from ticketlens.session import scratch_path
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from the labels of these documents."""
+    return quality.fit_quality(docs, table(spark, sf_dir, "labels")).filter(docs)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, the one with the smallest id."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: four fifths of five-word shingles in common."""
+    return near_dedup.drop_near_copies(docs, near_dedup.Links(words=5, percent=80))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes what is left and proves that it decodes again."""
     import public_tokenizers
@@ -26,11 +42,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", keep_good),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("bpe", encode),
 ]
 
-#: SQL cannot express the learned and the hashing stages; tests compare them with brute force.
+#: SQL cannot express the learned and the tokenising stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 

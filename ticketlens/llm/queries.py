@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticketlens.llm import (
     bpe,
     decontaminate,
     exact_dedup,
     language_model,
+    licenses,
     near_dedup,
     personal_data,
     quality,
@@ -55,6 +57,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(spark, path)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand in the directory of their source and language."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.license_scan(docs.withColumn("path", path))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), near_dedup.Links(words=2))
 
@@ -78,6 +87,7 @@ def queries() -> dict[str, Query]:
         "op4_quality": op4_quality,
         "op5_language_model": op5_language_model,
         "op6_token_files": op6_token_files,
+        "op7_licenses": op7_licenses,
         "op8_near_dedup": op8_near_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
