@@ -186,3 +186,70 @@ def test_batch_job(spark, tmp_path):
     themes = spark.read.option("header", True).csv(f"{out}/themes.csv")
     assert themes.columns == result.themes.columns
     assert themes.count() == result.themes.count() > 0
+
+
+def test_more_date_layouts(spark):
+    day = dt.datetime(2024, 1, 5)
+    cases = {
+        "1/5/2024 9:03:22": day.replace(hour=9, minute=3, second=22),
+        "1/5/2024 9:03 PM": day.replace(hour=21, minute=3),
+        "1/5/24 9:03": day.replace(hour=9, minute=3),
+        "2024/01/05 10:00": day.replace(hour=10),
+        "05-Jan-2024": day,
+        "Jan 5, 2024": day,
+        "Friday, January 5, 2024 3:04:05 pm": day.replace(hour=15, minute=4, second=5),
+        "Fri, 05 Jan 2024 10:00:00 +0000": day.replace(hour=10),
+        "Fri, 05 Jan 2024 10:00:00 +0530": day.replace(hour=4, minute=30),
+        "20240105": day,
+        "1234567890": None,
+        "9:03": None,
+        "Jan 45, 2024": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "text string")
+    got = df.select("text", parse_ticket_ts(F.col("text")).alias("ts")).collect()
+    assert {r.text: r.ts for r in got} == cases
+
+
+def test_files_of_a_folder_in_different_column_order(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write_csv(folder / "a.csv", ["Summary", "Status", "Created"], [["one", "Open", "1/5/2024 9:03"]])
+    write_csv(folder / "b.csv", ["Status", "Created", "Summary"], [["Done", "1/6/2024 9:03", "two"]])
+    write_csv(
+        folder / "c.csv",
+        ["Created", "Custom field (Tipo de solicitud)", "Summary"],
+        [["1/7/2024 9:03", "Incident", "three\nlines, here"]],
+    )
+    got = {(r.Summary, r.Status, r.Tipo, r.Date) for r in read_tickets_csv(spark, str(folder)).collect()}
+    assert got == {
+        ("one", "Open", None, "2024-01-05"),
+        ("two", "Done", None, "2024-01-06"),
+        ("three\nlines, here", None, "Incident", "2024-01-07"),
+    }
+
+
+def test_repeated_null_and_blank_keys_stay_apart(spark):
+    records = [("1", "a"), ("1", "b"), ("1", "b"), ("2", "c"), (None, "d"), ("", "e"), (" ", "e"), (None, "d")]
+    raw = spark.createDataFrame(records, "key string, Summary string")
+    ids = with_ticket_id(raw, "key").collect()
+    assert sorted([(r.key, r.Summary) for r in ids], key=repr) == sorted(records, key=repr)
+    assert len({r.ticket_id for r in ids}) == len(records)
+    assert {r.ticket_id for r in ids if r.key == "2"} == {"2"}
+    again = with_ticket_id(raw.repartition(7), "key").collect()
+    assert {r.ticket_id for r in again} == {r.ticket_id for r in ids}
+
+
+def test_filters_reach_the_reader_below_cleaning(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("1/5/2024 9:03", "en", "text"), ("1/6/2024 9:03", "de", "text"), ("1/6/2024 9:03", None, "text")],
+        "Created string, Tipo string, Description string",
+    )
+    path = str(tmp_path / "raw")
+    raw.withColumn("ticket_id", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    kept = prepare_frame(stored, now_ts="2024-02-01", filters={"tipos": ["en"]})
+    assert [r.Tipo for r in kept.collect()] == ["en"]
+    plan = kept._jdf.queryExecution().toString()
+    assert "EqualTo(Tipo,en)" in plan or "In(Tipo, [en])" in plan
+    unknown = prepare_frame(stored, now_ts="2024-02-01", filters={"tipos": ["Unknown"]})
+    assert [r.Tipo for r in unknown.collect()] == ["Unknown"]

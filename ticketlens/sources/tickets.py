@@ -31,19 +31,21 @@ def read_tickets_csv(
 ) -> DataFrame:
     """Read one CSV export (a file or a folder of files) as normalised tickets.
 
-    All cells are read as text. Spark cannot split a file whose quoted cells hold line
+    All cells are read as text. Files of a folder may differ in their columns and their order. Spark cannot split a file whose quoted cells hold line
     breaks, so large exports should come as many files; pass `multi_line=False` when
     no cell holds a line break and files are then split as usual.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("multiLine", multi_line)
         .option("escape", '"')
-        .csv(path)
     )
-    # A multi-line file is one partition; cleaning its texts should not stay in one task.
-    raw = _first_of_repeated_headers(spread(raw))
+    raw = _same_headers_together(spark, reader, path)
+    cleaned = [_first_of_repeated_headers(spread(part)) for part in raw]
+    raw = cleaned[0]
+    for part in cleaned[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
     raw = raw.select(
         [
             F.when(~_name(c).isin(NA_STRINGS), _name(c)).alias(c)
@@ -53,6 +55,35 @@ def read_tickets_csv(
     return normalize_tickets(raw, id_column)
 
 
+def _same_headers_together(spark: SparkSession, reader, path: str) -> list[DataFrame]:
+    """One frame for each header row that the files under `path` have.
+
+    A reader takes the columns of all its files by the position of the first header, so files of
+    another layout or column order are read apart. The headers come from one pass over the
+    lines; there is one for each file.
+    """
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return [reader.csv(path)]
+    start = F.col("_metadata.file_block_start") == 0
+    first = (
+        lines.where(start)
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            "value",
+            F.monotonically_increasing_id().alias("at"),
+        )
+        .groupBy("file")
+        .agg(F.min_by("value", "at").alias("header"))
+    )
+    files: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        files.setdefault(row.header.lstrip("\ufeff").rstrip("\r"), []).append(row.file)
+    if len(files) < 2:
+        return [reader.csv(path)]
+    return [reader.csv(paths) for paths in files.values()]
+
+
 def _first_of_repeated_headers(raw: DataFrame) -> DataFrame:
     """Spark numbers repeated headers by position (`Tipo3`, `Tipo7`); keep the first as `Tipo`."""
     known = REQUIRED_COLUMNS + OPTIONAL_COLUMNS + list(COLUMN_ALIASES) + ["Resolved"]
@@ -99,21 +130,56 @@ def merge_text_dates(df: DataFrame, first: str, second: str) -> Column:
 
 
 def with_ticket_id(df: DataFrame, id_column: str | None = None) -> DataFrame:
-    """Add `ticket_id`, stable under any partitioning.
+    """Add `ticket_id`, stable under any partitioning and different for every row.
 
-    With a key column the ids are its values. Without one, a ticket is named by the
-    digest of its cells and its copy number: equal rows are counted (combined map
-    side) and then written out again. Groups of very many copies are first cut
-    into bounded runs spread over tasks, so a group of any size never sits in one task;
-    all other rows go through a single shuffle.
+    With a key column the id is its value. Rows whose key is null or blank are named by their
+    content, rows that share a key by the key and their content.
+    Content names are the digest of all cells and a copy number. Only digests are shuffled to find
+    the rows that have copies; no other row leaves its task.
     """
-    if id_column is not None:
-        return df.withColumn("ticket_id", _name(id_column))
+    if "ticket_id" in df.columns:
+        id_column = "__given_id" if id_column == "ticket_id" else id_column
+        given = df.withColumnRenamed("ticket_id", "__given_id")
+        return with_ticket_id(given, id_column).drop("__given_id")
     cells = [_name(c) for c in df.columns]
-    counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("__copies"))
-    copies = F.col("__copies")
     digest = F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
-    counted = counted.withColumn("__digest", digest)
+    if id_column is None:
+        return _named_by_content(df.withColumn("__digest", digest), F.col("__digest"))
+    key = strip_whitespace(_name(id_column).cast("string"))
+    keyed = df.withColumn("__key", F.nullif(key, F.lit("")))
+    repeated = _repeated(keyed.where(F.col("__key").isNotNull()), "__key")
+    marked = keyed.join(repeated.withColumn("__again", F.lit(True)), "__key", "left")
+    plain = F.col("__key").isNotNull() & F.col("__again").isNull()
+    named = marked.where(plain).withColumn("ticket_id", _name(id_column))
+    others = marked.where(~plain).withColumn("__digest", digest)
+    name = F.concat_ws("-", "__key", "__digest")
+    others = _named_by_content(others.drop("__again").withColumn("__name", name), F.col("__name"))
+    columns = [*cells, F.col("ticket_id")]
+    others = others.withColumn("ticket_id", F.col("ticket_id").cast(named.schema["ticket_id"].dataType))
+    return named.select(*columns).unionByName(others.select(*columns))
+
+
+def _repeated(df: DataFrame, column: str) -> DataFrame:
+    """The values of `column` that more than one row has."""
+    return (
+        df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(column)
+    )
+
+
+def _named_by_content(df: DataFrame, name: Column) -> DataFrame:
+    """`df` with `ticket_id`: a name that equal rows share, and their copy number.
+
+    Rows with copies are counted (combined map side) and then written out again. Groups
+    of very many copies are first cut into bounded runs spread over tasks, so a group of any
+    size never sits in one task.
+    """
+    repeated = _repeated(df.select("__digest"), "__digest")
+    number = lambda copy: F.concat_ws("-", name, copy)
+    single = df.join(repeated, "__digest", "left_anti").withColumn("ticket_id", number(F.lit("0")))
+    several = df.join(repeated, "__digest", "left_semi")
+    cells = [_name(c) for c in df.columns]
+    counted = several.groupBy(*cells).agg(F.count(F.lit(1)).alias("__copies"))
+    copies = F.col("__copies")
 
     few = counted.where(copies <= COPIES_PER_TASK).withColumn(
         "__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
@@ -132,10 +198,12 @@ def with_ticket_id(df: DataFrame, id_column: str | None = None) -> DataFrame:
         .withColumn("__copy", F.explode(F.sequence(first, last)))
         .drop("__run")
     )
+    copied = few.unionByName(many).withColumn("ticket_id", number(F.col("__copy")))
+    columns = [*cells, F.col("ticket_id")]
     return (
-        few.unionByName(many)
-        .withColumn("ticket_id", F.concat_ws("-", "__digest", "__copy"))
-        .drop("__copies", "__digest", "__copy")
+        single.select(*columns)
+        .unionByName(copied.select(*columns))
+        .drop("__digest", "__name", "__key")
     )
 
 
