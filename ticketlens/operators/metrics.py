@@ -22,10 +22,31 @@ from ticketlens.schema import FACETS, MONTH_COLUMN
 
 # --- Fixed value: statuses of tickets that wait for the client ---------------
 PENDING_CLIENT = r"pend(?:ie|e).*cliente"
+# The same with the one spelling that finds only statuses that begin with PENDE.
+PENDING_CLIENT_LITERAL = r"pende.*cliente"
 
 HISTOGRAM_BINS = 30
 
 
+# --- Fixed values: columns that a ticket table may lack ------------------------
+OPTIONAL_TYPES = {
+    "Agencia": "string",
+    "ResolvedDate": "string",
+    "resolution_effective_dt": "timestamp_ntz",
+    "resolution_time_hours": "double",
+    "aging_hours": "double",
+}
+
+
+def with_absent_columns(df: DataFrame) -> DataFrame:
+    """`df` with the optional columns that it lacks as nulls.
+
+    Without them the operators give empty tables or zeros of the usual schema.
+    """
+    absent = {c: kind for c, kind in OPTIONAL_TYPES.items() if c not in df.columns}
+    return df.withColumns({c: F.lit(None).cast(kind) for c, kind in absent.items()})
+
+
 # --- predicates and filters --------------------------------------------------
 
 
@@ -210,6 +231,7 @@ def finish_kpis(grouped: DataFrame) -> DataFrame:
 
 def sla_compliance(df: DataFrame, threshold_hours: float = 48.0) -> DataFrame:
     """One row: resolved tickets, those within the threshold, and their share."""
+    df = with_absent_columns(df)
     hours = F.col("resolution_time_hours")
     return finish_sla(
         df.agg(
@@ -277,6 +299,7 @@ def created_vs_resolved_per_day(df: DataFrame) -> DataFrame:
     Every ticket yields up to two day events, counted in one grouping instead of
     two groupings and an outer join.
     """
+    df = with_absent_columns(df)
     events = F.array(
         F.struct(F.col("Date").alias("Date"), F.lit(True).alias("is_created")),
         F.struct(
@@ -307,7 +330,7 @@ def finish_created_vs_resolved(counts: DataFrame) -> DataFrame:
 
 
 def _resolved(df: DataFrame) -> DataFrame:
-    return df.where(F.col("resolution_time_hours").isNotNull())
+    return with_absent_columns(df).where(F.col("resolution_time_hours").isNotNull())
 
 
 def _mean_hours(df: DataFrame, key: str) -> DataFrame:
@@ -347,6 +370,7 @@ def resolution_time_histogram(
 
     `bounds` is a one-row frame (lo, hi); given, it saves the pass that finds them.
     """
+    df = with_absent_columns(df)
     hours = F.col("resolution_time_hours")
     if bounds is None:
         bounds = df.agg(F.min(hours).alias("lo"), F.max(hours).alias("hi"))
@@ -381,6 +405,7 @@ def resolution_time_histogram(
 
 
 def _count_buckets(df: DataFrame, bucket: Column) -> DataFrame:
+    df = with_absent_columns(df)
     counts = df.select(bucket.alias("aging_bucket")).where("aging_bucket is not null")
     return finish_buckets(
         counts.groupBy("aging_bucket").agg(F.count(F.lit(1)).alias("count"))
@@ -429,6 +454,7 @@ def aging_buckets_open_tickets(df: DataFrame) -> DataFrame:
 
 def client_pending_aging(df: DataFrame, pattern: str = PENDING_CLIENT) -> DataFrame:
     """Aging and bucket of every ticket that waits for the client."""
+    df = with_absent_columns(df)
     waiting = is_pending_client(F.col("Status"), pattern)
     return df.where(waiting & F.col("aging_hours").isNotNull()).select(
         "aging_hours", aging_bucket(F.col("aging_hours")).alias("aging_bucket")

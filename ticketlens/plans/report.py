@@ -17,6 +17,7 @@ ROLLUP_KEYS = [
     "ResolvedDate",
     "open_bucket",
     "pending_bucket",
+    "raw_tipo",
 ]
 TOP_REPORTERS = 15
 TOP_AGENCIAS = 20
@@ -29,6 +30,7 @@ def report_rollup(df: DataFrame, sla_threshold_hours: float = 48.0) -> DataFrame
     totals; partial aggregation shrinks it before the shuffle.
     """
     hours = F.col("resolution_time_hours")
+    df = m.with_absent_columns(df)
     pruned = df.select(
         "Date",
         *[F.coalesce(c, F.lit("Unknown")).alias(c) for c in m.FACETS],
@@ -37,6 +39,8 @@ def report_rollup(df: DataFrame, sla_threshold_hours: float = 48.0) -> DataFrame
         ),
         m.open_aging_bucket().alias("open_bucket"),
         m.pending_aging_bucket().alias("pending_bucket"),
+        # Counts take a missing type as Unknown, means leave it out.
+        F.col("Tipo").alias("raw_tipo"),
         hours,
         (~m.is_closed(F.col("Status"))).alias("is_open"),
     )
@@ -75,11 +79,11 @@ def report_tables(
             F.col("key").alias(key), F.col("tickets").alias(count)
         )
 
-    def means(name: str) -> DataFrame:
+    def means(name: str, column: str) -> DataFrame:
         return (
             cut(name)
             .where(F.col("resolved_count") > 0)
-            .select(F.col("key").alias(name), "avg_resolution_time_hours")
+            .select(F.col("key").alias(column), "avg_resolution_time_hours")
         )
 
     # Totals are re-aggregated so that an empty table still gives its row of zeros.
@@ -112,11 +116,11 @@ def report_tables(
         "client_pending_aging_buckets": m.finish_buckets(
             counts("pending_bucket", "aging_bucket", "count")
         ),
-        "avg_resolution_time_over_time": m.finish_avg_over_time(means("ResolvedDate")),
+        "avg_resolution_time_over_time": m.finish_avg_over_time(means("ResolvedDate", "ResolvedDate")),
         "resolution_time_histogram": m.resolution_time_histogram(
             df, bins, cut("").select("lo", "hi")
         ),
-        "resolution_time_by_tipo": m.finish_by_tipo(means("Tipo")),
+        "resolution_time_by_tipo": m.finish_by_tipo(means("raw_tipo", "Tipo")),
         "aging_buckets_open_tickets": m.finish_buckets(
             counts("open_bucket", "aging_bucket", "count")
         ),
