@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: list[tempfile.TemporaryDirectory] = []
-
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
@@ -19,14 +16,15 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     )
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        folder = tempfile.TemporaryDirectory(prefix="ticketlens-checkpoint-")
-        _local_folders.append(folder)  # removed when the process ends
-        sc.setCheckpointDir(folder.name)
     else:
-        raise ValueError(
-            "spark.checkpoint.dir is not set: name a folder that every executor can reach"
-        )
+        # A folder beside the warehouse, on the warehouse's own file system.
+        jvm = sc._jvm
+        warehouse = jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        fs = warehouse.getFileSystem(sc._jsc.hadoopConfiguration())
+        beside = fs.makeQualified(warehouse).getParent()
+        folder = jvm.org.apache.hadoop.fs.Path(beside, f"spark-warehouse-scratch-{uuid.uuid4().hex}")
+        fs.deleteOnExit(folder)  # removed when the session's process ends
+        sc.setCheckpointDir(folder.toString())
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
