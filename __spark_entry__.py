@@ -39,7 +39,7 @@ from ticketlens.sources.sample_tables import (  # noqa: E402
     table,
 )
 
-SMOKE_DIR = "/root/testdata/sf0.001"
+SMOKE_DIR = os.environ.get("SMOKE_SF_DIR", "/root/testdata/sf0.001")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -132,18 +132,22 @@ def _raw_export(spark: SparkSession, sf_dir: str, second_layout: bool) -> DataFr
 
 
 def _given_groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Theme tables with labelled embeddings in place of learned clusters."""
-    labelled = table(spark, sf_dir, "embeddings").select(
+    """Theme tables of all texts, grouped by their source in place of learned clusters.
+
+    Representatives are taken from the texts that have an embedding. Cleaned texts are written once.
+    """
+    path = scratch_path(spark, "given")
+    _documents(spark, sf_dir).write.parquet(path)
+    docs = spark.read.parquet(path)
+    number = F.regexp_extract("Agencia", r"([0-9]+)$", 1).cast("int") % 10
+    groups = docs.select("ticket_id", number.alias("theme_id"))
+    vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("ticket_id"),
-        F.col("label").alias("theme_id"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"),
     )
-    docs = _documents(spark, sf_dir)
     unit = Normalizer(p=2.0, inputCol="raw", outputCol="features")
-    assigned = unit.transform(labelled).join(docs.select("ticket_id"), "ticket_id")
-    docs = docs.join(assigned.select("ticket_id"), "ticket_id", "left_semi")
-    groups = assigned.select("ticket_id", "theme_id")
-    top = tables.top_themes(terms.theme_sizes(groups), 5)
+    assigned = unit.transform(vectors).join(groups, "ticket_id")
+    top = tables.top_themes(terms.theme_sizes(groups))
     similarities = clusters.theme_similarities(assigned, clusters.mean_centers(assigned))
     return {
         "docs": docs,
@@ -174,6 +178,27 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
+#: Text and number columns of every table of the report.
+REPORT_COLUMNS = {
+    "tickets_per_day": (["Date"], ["tickets", "rolling_7d"]),
+    "count_by_tipo": (["Tipo"], ["count"]),
+    "count_by_reporter": (["Reporter"], ["count"]),
+    "count_by_status": (["Status"], ["count"]),
+    "count_by_agencia": (["Agencia"], ["count"]),
+    "client_pending_aging_buckets": (["aging_bucket"], ["count"]),
+    "avg_resolution_time_over_time": (["ResolvedDate"], ["avg_resolution_time_hours"]),
+    "resolution_time_histogram": (["bin"], ["count", "bin_start", "bin_end"]),
+    "resolution_time_by_tipo": (["Tipo"], ["avg_resolution_time_hours"]),
+    "aging_buckets_open_tickets": (["aging_bucket"], ["count"]),
+    "created_vs_resolved_per_day": (["Date"], ["created", "resolved"]),
+    "kpis": (
+        ["top_tipo", "top_agencia"],
+        ["total_tickets", "open_tickets", "pct_done", "avg_tickets_day"],
+    ),
+    "sla_compliance": ([], ["sla_pct", "resolved_count", "within_sla_count"]),
+}
+
+
 # --- queries -----------------------------------------------------------------
 
 
@@ -201,28 +226,14 @@ def _metric_queries() -> dict[str, Query]:
         """Every number of the report as (table_name, item, amount)."""
         tickets = _timed(spark, sf_dir, with_people=True)
         report = report_tables(tickets)
-        keys = {
-            "tickets_per_day": ("Date", "tickets"),
-            "count_by_tipo": ("Tipo", "count"),
-            "count_by_reporter": ("Reporter", "count"),
-            "count_by_status": ("Status", "count"),
-            "count_by_agencia": ("Agencia", "count"),
-            "client_pending_aging_buckets": ("aging_bucket", "count"),
-            "avg_resolution_time_over_time": ("ResolvedDate", "avg_resolution_time_hours"),
-            "resolution_time_histogram": ("bin", "count"),
-            "resolution_time_by_tipo": ("Tipo", "avg_resolution_time_hours"),
-            "aging_buckets_open_tickets": ("aging_bucket", "count"),
-            "created_vs_resolved_per_day": ("Date", "resolved"),
-            "kpis": ("top_tipo", "pct_done"),
-            "sla_compliance": ("within_sla_count", "sla_pct"),
-        }
         parts = [
             report[name].select(
-                F.lit(name).alias("table_name"),
-                F.col(key).cast("string").alias("item"),
+                F.lit(f"{name}.{amount}").alias("table_name"),
+                (F.concat_ws(" ", *key) if key else F.lit("")).alias("item"),
                 F.col(amount).cast("double").alias("amount"),
             )
-            for name, (key, amount) in keys.items()
+            for name, (key, amounts) in REPORT_COLUMNS.items()
+            for amount in amounts
         ]
         union = parts[0]
         for part in parts[1:]:
@@ -262,6 +273,9 @@ def _metric_queries() -> dict[str, Query]:
         "client_pending_aging": on_timed(metrics.client_pending_aging),
         "client_pending_aging_buckets": on_timed(metrics.client_pending_aging_buckets),
         "created_vs_resolved_per_day": on_timed(metrics.created_vs_resolved_per_day),
+        "client_pending_aging_literal": on_timed(
+            lambda t: metrics.client_pending_aging(t, metrics.PENDING_CLIENT_LITERAL)
+        ),
         "sla_compliance": on_timed(metrics.sla_compliance),
         "report_tables": report,
     }
@@ -302,16 +316,29 @@ def _ingest_queries() -> dict[str, Query]:
         """Multi-line texts with quotes through a CSV export and the whole preparation."""
         path = scratch_path(spark, "texts")
         day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("ticket_id") % 365).cast("int"))
-        document_tickets(spark, sf_dir).withColumn(
-            "Created", F.date_format(day, "M/d/yyyy H:mm")
+        later = F.date_add(day, (F.col("ticket_id") % 9).cast("int"))
+        document_tickets(spark, sf_dir).withColumns(
+            {
+                "Created": F.date_format(day, "M/d/yyyy H:mm"),
+                "Resolved": F.when(F.col("ticket_id") % 3 == 0, F.date_format(later, "M/d/yyyy H:mm")),
+                "Updated": F.date_format(later, "M/d/yyyy H:mm"),
+                "Status": F.when(F.col("ticket_id") % 2 == 0, "Done").otherwise("Open"),
+            }
         ).write.option("header", True).option("escape", '"').csv(path)
         prepared = enrich_tickets(read_tickets_csv(spark, path, "ticket_id"), NOW)
         return prepared.select(
             F.col("ticket_id").cast("long").alias("ticket_id"),
             "Date",
             "DayOfWeek",
+            "ResolvedDate",
+            "Description",
+            "Description_clean",
             "Description_clean_len",
             "NLP_Eligible",
+            F.col("resolution_effective_dt").cast("timestamp_ntz").alias("resolution_effective_dt"),
+            "resolution_time_hours",
+            "aging_hours",
+            "touch_time_hours",
         )
 
     def parquet_round_trip(spark, sf_dir):
@@ -408,7 +435,7 @@ def _text_queries() -> dict[str, Query]:
 
     def trim_lower(spark, sf_dir):
         return document_tickets(spark, sf_dir).select(
-            "ticket_id", fn.trim_lower(F.col("Summary")).alias("text")
+            "ticket_id", fn.trim_lower(F.col("Description")).alias("text")
         )
 
     def tokens(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ticketlens.operators.terms import STOPWORDS
 from ticketlens.sources.sample_tables import NOW
 
 # --- metric queries ----------------------------------------------------------
@@ -124,44 +123,52 @@ METRICS = {
     "aging_buckets_open_tickets": _buckets("status <> 'Done'"),
     "client_pending_aging": f"""SELECT round(aging, 6) AS aging_hours, {BUCKET} AS aging_bucket
         FROM tickets WHERE aging IS NOT NULL AND {PENDING}""",
+    "client_pending_aging_literal": f"""SELECT round(aging, 6) AS aging_hours, {BUCKET} AS aging_bucket
+        FROM tickets WHERE aging IS NOT NULL AND status = 'PENDEINTE CLIENTE'""",
     "client_pending_aging_buckets": _buckets(PENDING),
     "created_vs_resolved_per_day": DAY_BALANCE,
     "sla_compliance": SLA,
 }
 
 
-def _part(name: str, item: str, amount: str, sql: str) -> str:
-    return (
-        f"SELECT '{name}' AS table_name, CAST({item} AS VARCHAR) AS item, "
+def _parts(name: str, item: str, amounts: list[str], sql: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}.{amount}' AS table_name, CAST({item} AS VARCHAR) AS item, "
         f"round(CAST({amount} AS DOUBLE), 6) AS amount FROM ({sql})"
+        for amount in amounts
     )
 
 
 REPORT = " UNION ALL ".join(
     [
-        _part("tickets_per_day", '"Date"', "tickets", DAILY),
-        _part("count_by_tipo", '"Tipo"', "count", _counts("tipo", "Tipo")),
-        _part("count_by_reporter", '"Reporter"', "count", _counts("reporter", "Reporter", 15)),
-        _part("count_by_status", '"Status"', "count", _counts("status", "Status")),
-        _part("count_by_agencia", '"Agencia"', "count", _counts("agencia", "Agencia", 20)),
-        _part("client_pending_aging_buckets", "aging_bucket", "count", _buckets(PENDING)),
-        _part(
+        _parts("tickets_per_day", '"Date"', ["tickets", "rolling_7d"], DAILY),
+        _parts("count_by_tipo", '"Tipo"', ["count"], _counts("tipo", "Tipo")),
+        _parts("count_by_reporter", '"Reporter"', ["count"], _counts("reporter", "Reporter", 15)),
+        _parts("count_by_status", '"Status"', ["count"], _counts("status", "Status")),
+        _parts("count_by_agencia", '"Agencia"', ["count"], _counts("agencia", "Agencia", 20)),
+        _parts("client_pending_aging_buckets", "aging_bucket", ["count"], _buckets(PENDING)),
+        _parts(
             "avg_resolution_time_over_time",
             '"ResolvedDate"',
-            "avg_resolution_time_hours",
+            ["avg_resolution_time_hours"],
             BY_RESOLVED_DAY,
         ),
-        _part("resolution_time_histogram", "bin", "count", HISTOGRAM),
-        _part("resolution_time_by_tipo", '"Tipo"', "avg_resolution_time_hours", BY_TIPO),
-        _part(
+        _parts("resolution_time_histogram", "bin", ["count", "bin_start", "bin_end"], HISTOGRAM),
+        _parts("resolution_time_by_tipo", '"Tipo"', ["avg_resolution_time_hours"], BY_TIPO),
+        _parts(
             "aging_buckets_open_tickets",
             "aging_bucket",
-            "count",
+            ["count"],
             _buckets("status <> 'Done'"),
         ),
-        _part("created_vs_resolved_per_day", '"Date"', "resolved", DAY_BALANCE),
-        _part("kpis", "top_tipo", "pct_done", KPIS),
-        _part("sla_compliance", "within_sla_count", "sla_pct", SLA),
+        _parts("created_vs_resolved_per_day", '"Date"', ["created", "resolved"], DAY_BALANCE),
+        _parts(
+            "kpis",
+            "top_tipo || ' ' || top_agencia",
+            ["total_tickets", "open_tickets", "pct_done", "avg_tickets_day"],
+            KPIS,
+        ),
+        _parts("sla_compliance", "''", ["sla_pct", "resolved_count", "within_sla_count"], SLA),
     ]
 )
 
@@ -216,6 +223,7 @@ def _drop(text: str) -> str:
     return f"array_to_string(list_filter({chunks}, lambda c: c <> ''), ' ')"
 
 
+# --- Fixed values: markup patterns, greetings and image words ------------------
 EXT = "(?:png|jpg|jpeg|gif|webp|svg|bmp|heic)"
 STEP_PATTERNS = {
     "strip_smart_links": r"\[[^\]]+\|https?://[^\]|]+(?:\|smart-link)?\]",
@@ -247,11 +255,23 @@ def _cleaned(text: str) -> str:
 
 DOCS = f"""
 WITH cleaned AS (
-  SELECT doc_id AS ticket_id, lang AS tipo, text AS description, substring(text, 1, 60) AS summary,
+  SELECT doc_id AS ticket_id, lang AS tipo, source AS agencia, text AS description,
+    source || ' ' || lang || ' ' || doc_id AS summary,
     {_cleaned("text")} AS clean FROM documents
 ), eligible AS (SELECT * FROM cleaned WHERE length(clean) >= 20)
 """
 
+# --- Fixed values: words that never become terms -----------------------------
+STOPWORDS = [
+    "de", "la", "el", "los", "las", "un", "una", "unos", "unas", "y", "o", "u",
+    "a", "ante", "con", "contra", "desde", "en", "entre", "hacia", "hasta", "para",
+    "por", "sin", "sobre", "tras", "que", "se", "su", "sus", "al", "del", "lo",
+    "le", "les", "como", "ya", "si", "no", "mas", "muy", "favor", "gracias",
+    "buen", "buenos", "buenas", "dia", "dias", "tarde", "tardes", "noche", "noches",
+    "estimado", "estimados", "adjunto", "adjunta", "quedo", "pendiente", "cordial",
+    "saludo", "saludos", "hola", "ticket", "jira",
+]
+
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
@@ -275,6 +295,7 @@ def _step(text: str) -> str:
     return f"SELECT ticket_id, {text} AS text FROM {MARKED_UP}"
 
 
+# Fixed value: image and markup words
 NOISE = "image|imagen|img|png|jpg|jpeg|gif|webp|svg|bmp|heic|alt|width|height"
 TEXTS = {
     **{name: _step(_blank("text", p)) for name, p in STEP_PATTERNS.items()},
@@ -286,7 +307,7 @@ TEXTS = {
         ELSE regexp_replace(substring(text, 1, 349), '\\s+$', '') || '…' END AS text
         FROM documents""",
     "trim_lower": """SELECT doc_id AS ticket_id,
-        lower(regexp_replace(substring(text, 1, 60), '^\\s+|\\s+$', '', 'g')) AS text
+        lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text
         FROM documents""",
     "tokens": f"""SELECT ticket_id, CAST(len(t) AS BIGINT) AS n, array_to_string(t, ' ') AS tokens
         FROM (SELECT doc_id AS ticket_id, {_tokens("text")} AS t FROM documents)""",
@@ -347,11 +368,11 @@ LANGUAGES = (
 GIVEN = (
     DOCS
     + """
-, labelled AS (
-  SELECT vec_id AS ticket_id, label AS theme_id, embedding FROM embeddings
-  WHERE vec_id IN (SELECT ticket_id FROM eligible)
-), given AS (SELECT * FROM eligible WHERE ticket_id IN (SELECT ticket_id FROM labelled)
-), groups AS (SELECT ticket_id, theme_id FROM labelled)
+, groups AS (
+  SELECT ticket_id, CAST(regexp_extract(agencia, '([0-9]+)$', 1) AS INTEGER) % 10 AS theme_id FROM eligible
+), labelled AS (
+  SELECT vec_id AS ticket_id, theme_id, embedding FROM embeddings JOIN groups ON vec_id = groups.ticket_id
+), given AS (SELECT * FROM eligible)
 """
     + _tfidf("given")
     + KEYWORDS
@@ -380,7 +401,7 @@ GIVEN = (
   SELECT theme_id, ticket_id, CAST(rank AS INTEGER) AS representative_rank,
     round(sim, 6) AS representative_similarity
   FROM ranked WHERE rank <= 3
-), top AS (SELECT * FROM sizes ORDER BY count DESC, theme_id LIMIT 5
+), top AS (SELECT * FROM sizes ORDER BY count DESC, theme_id LIMIT 10
 ), examples AS (
   SELECT theme_id, array_to_string(list(trim(summary, e' \\n') ORDER BY representative_rank)
     FILTER (summary <> ''), ' | ') AS example_summaries
@@ -458,10 +479,21 @@ EXPECTED: dict[str, str] = {
     **TEXTS,
     "clean_description": DOCS + CLEAN,
     "prepare_tickets": DOCS
-    + """SELECT ticket_id,
-        strftime(DATE '2024-01-01' + CAST(ticket_id % 365 AS INTEGER), '%Y-%m-%d') AS "Date",
-        strftime(DATE '2024-01-01' + CAST(ticket_id % 365 AS INTEGER), '%a') AS "DayOfWeek",
-        CAST(length(clean) AS INTEGER) AS "Description_clean_len",
-        length(clean) >= 20 AS "NLP_Eligible" FROM cleaned""",
+    + """, dated AS (
+          SELECT *, CAST(DATE '2024-01-01' + CAST(ticket_id % 365 AS INTEGER) AS TIMESTAMP) AS created,
+            CAST(DATE '2024-01-01' + CAST(ticket_id % 365 + ticket_id % 9 AS INTEGER) AS TIMESTAMP) AS later
+          FROM cleaned
+        ), ended AS (
+          SELECT *, CASE WHEN ticket_id % 3 = 0 OR ticket_id % 2 = 0 THEN later END AS effective FROM dated
+        )
+        SELECT ticket_id, strftime(created, '%Y-%m-%d') AS "Date", strftime(created, '%a') AS "DayOfWeek",
+        strftime(effective, '%Y-%m-%d') AS "ResolvedDate",
+        description AS "Description", clean AS "Description_clean",
+        CAST(length(clean) AS INTEGER) AS "Description_clean_len", length(clean) >= 20 AS "NLP_Eligible",
+        effective AS resolution_effective_dt,
+        CAST(CASE WHEN effective IS NOT NULL THEN ticket_id % 9 * 24 END AS DOUBLE) AS resolution_time_hours,
+        CAST(CASE WHEN ticket_id % 2 = 1 AND created <= TIMESTAMP '""" + NOW + """'
+          THEN (epoch(TIMESTAMP '""" + NOW + """') - epoch(created)) / 3600 END AS DOUBLE) AS aging_hours,
+        CAST(ticket_id % 9 * 24 AS DOUBLE) AS touch_time_hours FROM ended""",
     **THEMES,
 }

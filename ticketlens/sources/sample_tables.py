@@ -71,7 +71,7 @@ def document_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tickets with a summary and a description."""
     return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("ticket_id"),
-        F.substring("text", 1, 60).alias("Summary"),
+        F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("Summary"),
         F.col("text").alias("Description"),
         F.col("lang").alias("Tipo"),
         F.col("source").alias("Agencia"),
