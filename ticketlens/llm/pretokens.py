@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
+import regex
+
 #: Chunks that a task remembers. The memory is given back when it is full; results do not change.
 CACHE_ENTRIES = 400_000
 #: Longer chunks are computed each time they occur.
@@ -18,6 +20,38 @@ LONGEST_CACHED = 64
 
 #: White space before a space: where these occur, a space is not the start of a chunk.
 _RUNS = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
+_ASCII_RUNS = tuple(run for run in _RUNS if run.isascii())
+
+#: Fixed value: the published pattern of byte-level vocabularies.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def piece_finder(pattern: str) -> Callable[[str], list[str]]:
+    """Function that cuts a chunk into the matches of `pattern`.
+
+    Words, alone or with one mark after them, need no search with the byte-level pattern.
+    """
+    find = regex.compile(pattern).findall
+    if pattern != BYTE_LEVEL:
+        return find
+
+    def pieces(chunk: str) -> list[str]:
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        body, last = chunk[:-1], chunk[-1:]
+        if last in ".,;:!?" and body[1:].isalpha() and (body[0] == " " or body[0].isalpha()):
+            return [body, last]
+        return find(chunk)
+
+    return pieces
+
+
+def parts_and_chunks(text: str) -> tuple[list[str], list[str]]:
+    """The chunks of `text` in two lists: those that start with one space, without it, and all others."""
+    if any(run in text for run in (_ASCII_RUNS if text.isascii() else _RUNS)):
+        return [], split_chunks(text)
+    first, *parts = text.split(" ")
+    return parts, [first] if first else []
 
 
 def split_chunks(text: str) -> list[str]:
@@ -27,7 +61,7 @@ def split_chunks(text: str) -> list[str]:
     ['one', '  two\\n three']
     """
     parts = text.split(" ")
-    if not any(run in text for run in _RUNS):
+    if not any(run in text for run in (_ASCII_RUNS if text.isascii() else _RUNS)):
         chunks = [" " + part for part in parts]
         chunks[0] = parts[0]
         return chunks if parts[0] else chunks[1:]

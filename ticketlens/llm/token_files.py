@@ -32,6 +32,8 @@ LEVEL = 3
 #: A segment is closed at so many compressed bytes or documents.
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCUMENTS = 4096
+#: Chunks of which a worker remembers the ids, about 200 MB.
+CHUNKS = 1_000_000
 
 
 class Encoder:
@@ -48,17 +50,38 @@ class Encoder:
         self.kind = np.dtype("<u2" if largest < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         before = self.tokenizer.pre_tokenizer
-        self.by_chunk = type(before).__name__ == "ByteLevel" and not before.add_prefix_space
-        self.by_chunk = self.by_chunk and self.tokenizer.normalizer is None
-        self.cache = ChunkCache(self._encode)
-
-    def _encode(self, texts: Sequence[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.by_chunk = (
+            type(before).__name__ == "ByteLevel"
+            and not before.add_prefix_space
+            and self.tokenizer.normalizer is None
+            and not any(t.lstrip or t.rstrip or len(t.content.split()) != 1 for t in added)
+        )
+        # Bytes that an id stands for: a byte-level token has a character for each, a special one is plain text.
+        self.lengths = np.zeros(largest + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.lengths[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.lengths[i] = len(token.content.encode())
+        self.cache = ChunkCache(self._encode, CHUNKS)
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, self.kind)
+
+    def _encode(self, chunks: Sequence[str]) -> list[bytes]:
+        """The ids of each chunk; all are encoded as one text, which is cut by the lengths of its tokens."""
+        ids = self._ids("".join(chunks))
+        ends = np.cumsum([len(chunk.encode()) for chunk in chunks])
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        content, width = ids.tobytes(), self.kind.itemsize
+        cuts = (cuts * width).tolist()
+        return [content[start:end] for start, end in zip([0, *cuts], cuts)]
 
     def encode(self, text: str) -> bytes:
-        values = self.cache.values(text) if self.by_chunk else self._encode([text])
-        return b"".join(values) + self.end
+        if not self.by_chunk:
+            return self._ids(text).tobytes() + self.end
+        return b"".join(self.cache.values(text)) + self.end
 
 
 def _encoder(content: bytes, end_id: int) -> Encoder:
