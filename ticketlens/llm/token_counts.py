@@ -1,9 +1,9 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token.
 
 First pass: all pre-tokens of all texts with their frequencies; the tokenizer counts the pieces of each
-distinct one. Second pass: a text's pre-token frequencies meet these counts. Pre-tokens that make up more
-than a 2^-18 part of the corpus, of which there can be no more than 2^18, are added up inside the
-tasks; all others are joined through a shuffle, where none of them can be a hot key.
+distinct one. Second pass: a text's pre-token frequencies meet these counts. The most frequent
+pre-tokens, 2^18 at most, are added up inside the tasks; all others are joined through a shuffle,
+where none of them can be a hot key.
 """
 
 from __future__ import annotations
@@ -16,12 +16,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import ids_and_texts, read_bytes, single_threaded, sql_type
-from ticketlens.llm.pretokens import ChunkCache, split_chunks
+from ticketlens.llm.common import (
+    frequent_from,
+    ids_and_texts,
+    read_bytes,
+    single_threaded,
+    sql_type,
+)
+from ticketlens.llm.pretokens import ChunkCache, parts_and_chunks, piece_finder
 from ticketlens.session import reliable_checkpoint
 
-#: Pre-tokens with at least this part of all occurrences are held by every task: 2^18 at most.
-HOT_PARTS = 1 << 18
+#: So many of the most frequent pre-tokens are held by every task, at most.
+HELD = 1 << 18
 #: Distinct chunks that a task gathers before it hands their pre-tokens on.
 CHUNKS_AT_ONCE = 300_000
 
@@ -40,13 +46,16 @@ def piece_splitter(content: bytes, pattern: str) -> Callable[[str], list[str]]:
     if described.get("normalizer") is not None:
         raise ValueError("the tokenizer rewrites texts before cutting them")
     specials = sorted((t["content"] for t in described["added_tokens"]), key=len, reverse=True)
-    pieces = regex.compile(pattern).findall
+    pieces = piece_finder(pattern)
     if not specials:
         return pieces
     special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")")
 
     def split(chunk: str) -> list[str]:
-        if special.search(chunk) is None:
+        for text in specials:
+            if text in chunk:
+                break
+        else:
             return pieces(chunk)
         found = []
         for i, part in enumerate(special.split(chunk)):
@@ -63,21 +72,26 @@ def pretoken_counts(texts: DataFrame, content: bytes, pattern: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = piece_splitter(shared.value, pattern)
-        chunks: Counter[str] = Counter()
+        spaced: Counter[str] = Counter()  # without their leading space
+        others: Counter[str] = Counter()
 
         def pieces() -> pa.RecordBatch:
-            counts: Counter[str] = Counter()
-            for chunk, n in chunks.items():
-                for piece in split(chunk):
-                    counts[piece] += n
-            chunks.clear()
+            counts: dict[str, int] = {}
+            get = counts.get
+            for chunks, before in ((spaced, " "), (others, "")):
+                for chunk, n in chunks.items():
+                    for piece in split(before + chunk):
+                        counts[piece] = get(piece, 0) + n
+                chunks.clear()
             columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
         for rows in batches:
             for text in rows.column(0):
-                chunks.update(split_chunks(text.as_py()))
-                if len(chunks) > CHUNKS_AT_ONCE:
+                parts, chunks = parts_and_chunks(text.as_py())
+                spaced.update(parts)
+                others.update(chunks)
+                if len(spaced) + len(others) > CHUNKS_AT_ONCE:
                     yield pieces()
         yield pieces()
 
@@ -126,9 +140,7 @@ def token_counts(
     content = read_bytes(path)
     texts = ids_and_texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     pieces = reliable_checkpoint(_with_tokens(pretoken_counts(texts, content, pattern), content))
-    total = pieces.agg(F.sum("count")).first()[0] or 0
-    # At most HOT_PARTS rows: each has at least that part of the total.
-    hot = pieces.where(F.col("count") * HOT_PARTS >= total).select("piece", "n").toArrow()
+    hot = pieces.where(F.col("count") >= frequent_from(pieces, HELD)).select("piece", "n").toArrow()
     held = texts.sparkSession.sparkContext.broadcast(
         (content, dict(zip(hot.column(0).to_pylist(), hot.column(1).to_pylist())))
     )
@@ -137,15 +149,17 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, known = held.value
-        split = piece_splitter(content, pattern)
+        split, get = piece_splitter(content, pattern), known.get
 
         def value(chunk: str) -> int | tuple[int, list[str]]:
             pieces = split(chunk)
-            rest = [piece for piece in pieces if piece not in known]
-            n = sum(known[piece] for piece in pieces if piece in known)
-            return (n, rest) if rest else n
+            counts = [get(piece) for piece in pieces]
+            if None not in counts:
+                return sum(counts)
+            rest = [piece for piece, n in zip(pieces, counts) if n is None]
+            return sum(n for n in counts if n is not None), rest
 
-        cache = ChunkCache(lambda chunks: list(map(value, chunks)), 200_000)
+        cache = ChunkCache(lambda chunks: list(map(value, chunks)))
         element = pa.struct([("piece", pa.string()), ("times", pa.int32())])
         for rows in batches:
             for at in range(0, rows.num_rows, 256):
@@ -180,8 +194,8 @@ def token_counts(
     rest = rest.select(
         "doc_id",
         "mark",
-        "n_bytes",
-        "held",
+        # Kept once for each text; zeros take next to no room in a shuffle.
+        *[F.when(F.coalesce("at", F.lit(0)) == 0, F.col(c)).otherwise(0).alias(c) for c in ("n_bytes", "held")],
         F.coalesce(F.col("at"), F.lit(0)).alias("at"),
         F.coalesce("rest.piece", F.concat(F.lit("\0 "), F.col("mark"))).alias("piece"),
         F.col("rest.times").alias("times"),
