@@ -14,13 +14,18 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from ticketlens.llm.common import batch, ids_and_texts, read_bytes, sql_type, worker_cache
-from ticketlens.llm.pretokens import CACHE_ENTRIES, LONGEST_CACHED, ChunkCache
+from ticketlens.llm.pretokens import (
+    LONGEST_CACHED,
+    ChunkCache,
+    piece_finder,
+)
 
 _NO_PAIR = 1 << 62
+#: Chunks and pre-tokens that a worker remembers, about 150 MB of each.
+CODEC_ENTRIES = 600_000
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -40,7 +45,7 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return []
     n = len(piece)
     rank = ranks.get
-    bits = max(1, n - 2).bit_length()
+    bits = (n - 1).bit_length()
     size = 1 << bits
     at = size - 1
     # Leaf i: the rank of the pair that starts at byte i, with i below it to break ties.
@@ -55,34 +60,37 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after = list(range(1, n + 1))  # start of the next live token, n at the end
     before = list(range(-1, n - 1))
 
-    def update(i: int, value: int) -> None:
-        node = size + i
-        tree[node] = value
-        while node > 1:
-            other = tree[node ^ 1]
-            value = value if value < other else other
-            node >>= 1
-            if tree[node] == value:
-                return
-            tree[node] = value
-
     while tree[1] != _NO_PAIR:
         i = tree[1] & at
         gone = after[i]
         follow = after[gone]
         after[i] = follow
-        if gone < n - 1:
-            update(gone, _NO_PAIR)
+        tree[size + gone] = _NO_PAIR
+        r = None
         if follow < n:
             before[follow] = i
             r = rank(piece[i : after[follow]])
-            update(i, _NO_PAIR if r is None else r << bits | i)
-        else:
-            update(i, _NO_PAIR)
+        tree[size + i] = _NO_PAIR if r is None else r << bits | i
         back = before[i]
         if back >= 0:
             r = rank(piece[back:follow])
-            update(back, _NO_PAIR if r is None else r << bits | back)
+            tree[size + back] = _NO_PAIR if r is None else r << bits | back
+        else:
+            back = i
+        # The three leaves go up together; where their paths have met, a node is computed once.
+        x, y, z = size + back >> 1, size + i >> 1, size + gone >> 1
+        while z:
+            left, right = tree[z + z], tree[z + z + 1]
+            tree[z] = left if left < right else right
+            if y != z:
+                left, right = tree[y + y], tree[y + y + 1]
+                tree[y] = left if left < right else right
+            if x != y:
+                left, right = tree[x + x], tree[x + x + 1]
+                tree[x] = left if left < right else right
+            x >>= 1
+            y >>= 1
+            z >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -95,13 +103,13 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = piece_finder(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.cache = ChunkCache(self._encode_chunks)
+        self.cache = ChunkCache(self._encode_chunks, CODEC_ENTRIES)
         self.known: dict[str, list[int]] = {}  # by pre-token; bounded like the chunks
 
     def _encode_chunks(self, chunks: Sequence[str]) -> list[tuple[int, ...]]:
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > CODEC_ENTRIES:
             self.known.clear()
         return [tuple(chain.from_iterable(map(self._encode_piece, self.pieces(c)))) for c in chunks]
 
