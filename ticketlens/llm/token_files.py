@@ -23,6 +23,7 @@ from pyspark.sql.window import Window as W
 
 from ticketlens.llm.common import ids_and_texts, read_bytes, single_threaded, sql_type, worker_cache
 from ticketlens.llm.pretokens import ChunkCache
+from ticketlens.session import reliable_checkpoint
 
 #: The dictionary is trained on so many documents, of at most so many characters each.
 DICTIONARY_DOCUMENTS = 1000
@@ -32,6 +33,8 @@ LEVEL = 3
 #: A segment is closed at so many compressed bytes or documents.
 SEGMENT_BYTES = 4 << 20
 SEGMENT_DOCUMENTS = 4096
+#: Index rows that every executor may hold when files are read.
+BROADCAST_SEGMENTS = 500_000
 #: Chunks of which a worker remembers the ids, about 200 MB.
 CHUNKS = 1_000_000
 
@@ -226,7 +229,10 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
     """
     segments = spark.read.parquet(f"{path}/segments")
     index = segment_starts(segments.select("part", "seq", "tokens")).select("part", "seq", "start")
-    rows = segments.join(index, ["part", "seq"]).select(
+    index = reliable_checkpoint(index)
+    # Three numbers for each segment of megabytes; payloads stay where they are read while they fit.
+    small = index.count() <= BROADCAST_SEGMENTS
+    rows = segments.join(F.broadcast(index) if small else index, ["part", "seq"]).select(
         "start", "dictionary", "width", "doc_ids", "n_tokens", "offsets", "payload"
     )
     dictionaries = _decompressor(spark, path)
