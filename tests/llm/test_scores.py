@@ -299,7 +299,7 @@ def test_licenses_own_inherited_and_none(spark):
 def test_similarities_equal_brute_force(spark):
     units = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", "all rights and copyright reserved by me"]
     units += ["Released under the MIT License. No warranty."]
-    frame = spark.createDataFrame([(u,) for u in units], "unit string")
+    frame = spark.createDataFrame([(100 + i, u) for i, u in enumerate(units)], "uid long, unit string")
 
     def terms(text):
         words = [w for w in re.split(r"[^\w.]+|\.(?!\d)", text.lower()) if w]
@@ -323,7 +323,7 @@ def test_similarities_equal_brute_force(spark):
             for name, text in licenses.TEMPLATES
         )
     rows = licenses.similar_templates(frame, similar=0.0).collect()
-    assert {r.unit: (round(r.similarity, 6), r.license) for r in rows} == {
+    assert {units[r.uid - 100]: (round(r.similarity, 6), r.license) for r in rows} == {
         u: w for u, w in wanted.items() if w[0] > 0
     }
 

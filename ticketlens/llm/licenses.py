@@ -1,6 +1,6 @@
 """Licence scan: TF-IDF similarity of licence statements to templates, and inheritance down the directories.
 
-Lines and paragraphs that speak of licensing are compared with the templates as sparse TF-IDF vectors; only
+Lines that speak of licensing, alone and with the lines around them, are compared with the templates as sparse TF-IDF vectors; only
 distinct ones are compared, and only on terms that a template has. A document that is a licence file, by its
 name or because it holds nothing else, licenses its directory: documents without a statement of their own take
 the licence of the nearest directory above them.
@@ -65,8 +65,10 @@ FILE_NAMES = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?$
 
 #: Cosine from which a statement is taken for a template.
 SIMILAR = 0.75
-#: A text of which statements make up this part is a licence file whatever its name.
+#: A text of which a statement this similar makes up this part is a licence file whatever its name.
 WHOLE = 0.9
+#: Lines around a line that speaks of licensing: notices are often wrapped.
+BEFORE, AFTER = 2, 6
 #: Directory tables up to this many rows are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -83,42 +85,57 @@ def _terms(text: Column) -> Column:
 
 
 def _vectors(units: DataFrame, idf: DataFrame) -> DataFrame:
-    """(unit, term, weight): unit vectors of tf * idf."""
-    counted = units.select("unit", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("unit", "term").count()
-    weighed = counted.join(idf, "term").select("unit", "term", ((1 + F.log("count")) * F.col("idf")).alias("weight"))
-    length = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return weighed.join(length, "unit").select("unit", "term", (F.col("weight") / F.col("length")).alias("weight"))
+    """(uid, term, weight) of (uid, unit): unit vectors of tf * idf; texts are not shuffled."""
+    counted = units.select("uid", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("uid", "term").count()
+    weighed = counted.join(idf, "term").select("uid", "term", ((1 + F.log("count")) * F.col("idf")).alias("weight"))
+    length = weighed.groupBy("uid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
+    return weighed.join(length, "uid").select("uid", "term", (F.col("weight") / F.col("length")).alias("weight"))
 
 
 def similar_templates(units: DataFrame, templates=TEMPLATES, similar: float = SIMILAR) -> DataFrame:
-    """(unit, license, similarity) of the distinct texts `units` (unit) that a template resembles.
+    """(uid, license, similarity) of the texts (uid, unit), each given once, that a template resembles.
 
     Document frequencies are over all units and templates.
     """
     spark = units.sparkSession
-    rows = [(name, text) for name, text in templates]
-    known = spark.createDataFrame(rows, "license string, unit string").coalesce(1)
-    every = units.select("unit").union(known.select("unit")).distinct()
+    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
+    known = spark.createDataFrame(rows, "uid long, license string, unit string").coalesce(1)
+    every = units.select("uid", "unit").union(known.select("uid", "unit").where(~_given(known, units)))
     n = every.count()
     df = every.select(F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).groupBy("term").count()
     idf = df.select("term", (F.log((F.lit(n) + 1) / (F.col("count") + 1)) + 1).alias("idf"))
     idf = reliable_checkpoint(idf)
-    ours = _vectors(known.select("unit").distinct(), idf)
-    ours = known.join(ours, "unit").select("license", F.col("unit").alias("template"), "term", F.col("weight").alias("w"))
+    ours = _vectors(known.select("uid", "unit"), idf)
+    ours = known.join(ours, "uid").select("license", F.col("uid").alias("template"), "term", F.col("weight").alias("w"))
     # The templates are a fixed few; every task holds their terms.
-    met = _vectors(units, idf).join(F.broadcast(ours), "term")
-    cosines = met.groupBy("unit", "license", "template").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
-    best = cosines.groupBy("unit").agg(F.max(F.struct("similarity", "license")).alias("best"))
-    found = best.select("unit", "best.license", F.round("best.similarity", 9).alias("similarity"))
+    met = _vectors(units.select("uid", "unit"), idf).join(F.broadcast(ours), "term")
+    cosines = met.groupBy("uid", "license", "template").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
+    best = cosines.groupBy("uid").agg(F.max(F.struct("similarity", "license")).alias("best"))
+    found = best.select("uid", "best.license", F.round("best.similarity", 9).alias("similarity"))
     return found.where(F.col("similarity") >= similar)
 
 
+def _given(known: DataFrame, units: DataFrame) -> Column:
+    """Whether a template is itself among the units, so that it counts once."""
+    texts = [row.unit for row in known.select("unit").distinct().collect()]
+    same = units.where(F.col("unit").isin(texts)).select("unit").distinct().collect()
+    return F.col("unit").isin([row.unit for row in same]) if same else F.lit(False)
+
+
 def _units(text: Column) -> Column:
-    """Lines and paragraphs that speak of licensing, each once, trimmed."""
-    pieces = F.concat(F.split(text, r"\n"), F.split(text, r"\n[\x20\t]*\n"))
-    trimmed = F.transform(pieces, lambda piece: F.regexp_replace(F.trim(piece), r"\s+", " "))
-    found = F.array_distinct(F.filter(trimmed, lambda piece: F.rlike(piece, F.lit(CUE))))
-    return F.when(F.rlike(text, F.lit(CUE)), found)
+    """Lines that speak of licensing, alone and with BEFORE lines before and AFTER lines after them."""
+    lines = F.split(text, r"\n")
+    places = F.filter(
+        F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(CUE)), i)), lambda i: i.isNotNull()
+    )
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - BEFORE, F.lit(0))
+        return F.array_join(F.slice(lines, first + 1, i + AFTER + 1 - first), " ")
+
+    pieces = F.concat(F.transform(places, lambda i: F.get(lines, i)), F.transform(places, around))
+    tidy = F.transform(pieces, lambda piece: F.trim(F.regexp_replace(piece, r"\s+", " ")))
+    return F.when(F.rlike(text, F.lit(CUE)), F.array_distinct(tidy))
 
 
 def _directory(path: Column) -> Column:
@@ -156,11 +173,15 @@ def license_scan(
             F.xxhash64("text").alias("mark"),
         )
     )
-    spoken = said.where("size(units) > 0").select("mark", "size", F.explode("units").alias("unit")).distinct()
-    found = similar_templates(spoken.select("unit").distinct(), templates, similar)
-    texts = spoken.join(found, "unit").groupBy("mark").agg(
+    units = said.where("size(units) > 0").select("mark", "size", F.explode("units").alias("unit"))
+    units = units.withColumn("uid", F.xxhash64("unit"))
+    distinct = units.groupBy("uid").agg(F.first("unit").alias("unit"))
+    found = similar_templates(reliable_checkpoint(distinct), templates, similar)
+    spoken = units.select("mark", "size", "uid", F.length("unit").alias("length"))
+    texts = spoken.join(found, "uid").groupBy("mark").agg(
         F.max(F.struct("similarity", "license")).alias("own"),
-        (F.max(F.length("unit")) / F.max("size")).alias("part"),
+        # How much of the text is nothing but the statement.
+        (F.max(F.when(F.col("similarity") >= WHOLE, F.col("length"))) / F.max("size")).alias("part"),
     )
     texts = reliable_checkpoint(texts)
     speaking = said.where("size(units) > 0").join(texts, "mark")
