@@ -328,6 +328,34 @@ def test_similarities_equal_brute_force(spark):
     }
 
 
+def _wrapped(text, size):
+    words = text.split()
+    return "\n".join(" ".join(words[at : at + size]) for at in range(0, len(words), size))
+
+
+def test_wrapped_notices_are_compared_whole(spark):
+    """Own paragraphs between prose, runs of lines inside prose, and comment blocks, at any width."""
+    prose = "The river rose for nine days and nobody in the valley slept\nwhile the water stood at the doors of the mill."
+    notices = {
+        "MIT": licenses.TEMPLATES[2][1],
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
+        " General Public License as published by the Free Software Foundation, either version 3 of the License, or (at"
+        " your option) any later version.",
+    }
+    rows = []
+    for name, text in notices.items():
+        for size in (3, 4, 6, 9, 12):
+            wrapped = _wrapped(text, size)
+            rows.append((name, f"{prose}\n\n{wrapped}\n\n{prose}"))
+            rows.append((name, f"/*\n * {prose}\n *\n * " + wrapped.replace("\n", "\n * ") + f"\n */\n{prose}"))
+            if wrapped.count("\n") <= licenses.AFTER and re.search(r"(?i)licensed", wrapped.split("\n")[0]):
+                rows.append((name, f"{prose}\n{wrapped}\n{prose}"))
+    docs = spark.createDataFrame([(i, f"r/{i}.c", text) for i, (_, text) in enumerate(rows)], "doc_id long, path string, text string")
+    found = {r.doc_id: r.license for r in licenses.license_scan(docs).collect()}
+    assert [(i, found[i]) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
+
+
 def test_op7_on_sample(spark, sample, sample_texts):
     rows = queries.op7_licenses(spark, sample).collect()
     assert sorted(r.doc_id for r in rows) == sorted(sample_texts)

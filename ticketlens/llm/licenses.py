@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF similarity of licence statements to templates, and inheritance down the directories.
 
-Lines that speak of licensing, alone and with the lines around them, are compared with the templates as sparse TF-IDF vectors; only
-distinct ones are compared, and only on terms that a template has. A document that is a licence file, by its
+Paragraphs and lines that speak of licensing, runs of lines around the latter, and whole licence files are compared with the
+templates as sparse TF-IDF vectors; only distinct ones are compared, and only on terms that a template has. A document that is a licence file, by its
 name or because it holds nothing else, licenses its directory: documents without a statement of their own take
 the licence of the nearest directory above them.
 """
@@ -84,9 +84,13 @@ def _terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def _vectors(units: DataFrame, idf: DataFrame) -> DataFrame:
-    """(uid, term, weight) of (uid, unit): unit vectors of tf * idf; texts are not shuffled."""
-    counted = units.select("uid", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("uid", "term").count()
+def _counted(units: DataFrame) -> DataFrame:
+    """(uid, term, count) of (uid, unit)."""
+    return units.select("uid", F.explode(_terms(F.col("unit"))).alias("term")).groupBy("uid", "term").count()
+
+
+def _vectors(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """(uid, term, weight) of (uid, term, count): unit vectors of tf * idf; texts are not shuffled."""
     weighed = counted.join(idf, "term").select("uid", "term", ((1 + F.log("count")) * F.col("idf")).alias("weight"))
     length = weighed.groupBy("uid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
     return weighed.join(length, "uid").select("uid", "term", (F.col("weight") / F.col("length")).alias("weight"))
@@ -100,15 +104,17 @@ def similar_templates(units: DataFrame, templates=TEMPLATES, similar: float = SI
     spark = units.sparkSession
     rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
     known = spark.createDataFrame(rows, "uid long, license string, unit string").coalesce(1)
-    every = units.select("uid", "unit").union(known.select("uid", "unit").where(~_given(known, units)))
-    n = every.count()
-    df = every.select(F.explode(F.array_distinct(_terms(F.col("unit")))).alias("term")).groupBy("term").count()
+    added = known.where(~_given(known, units))
+    n = units.count() + added.count()
+    # Terms are counted once for each unit; frequencies and vectors come from these counts.
+    counted = reliable_checkpoint(_counted(units))
+    df = counted.select("term").union(_counted(added).select("term")).groupBy("term").count()
     idf = df.select("term", (F.log((F.lit(n) + 1) / (F.col("count") + 1)) + 1).alias("idf"))
     idf = reliable_checkpoint(idf)
-    ours = _vectors(known.select("uid", "unit"), idf)
+    ours = _vectors(_counted(known), idf)
     ours = known.join(ours, "uid").select("license", F.col("uid").alias("template"), "term", F.col("weight").alias("w"))
     # The templates are a fixed few; every task holds their terms.
-    met = _vectors(units.select("uid", "unit"), idf).join(F.broadcast(ours), "term")
+    met = _vectors(counted, idf).join(F.broadcast(ours), "term")
     cosines = met.groupBy("uid", "license", "template").agg(F.sum(F.col("weight") * F.col("w")).alias("similarity"))
     best = cosines.groupBy("uid").agg(F.max(F.struct("similarity", "license")).alias("best"))
     found = best.select("uid", "best.license", F.round("best.similarity", 9).alias("similarity"))
@@ -122,20 +128,40 @@ def _given(known: DataFrame, units: DataFrame) -> Column:
     return F.col("unit").isin([row.unit for row in same]) if same else F.lit(False)
 
 
-def _units(text: Column) -> Column:
-    """Lines that speak of licensing, alone and with BEFORE lines before and AFTER lines after them."""
+def _units(text: Column, named: Column) -> Column:
+    """What of a text is compared: its statements, each once, with white space tidied.
+
+    These are the paragraphs that speak of licensing, their lines that do, alone and in all runs of up to BEFORE
+    lines before to AFTER lines after, and the same window whatever blank lines it has. Paragraphs end at lines without a letter or digit,
+    blank ones as well as those of comment blocks. A text is also compared whole when it is `named` a licence file or
+    such paragraphs are half of it.
+    """
     lines = F.split(text, r"\n")
-    places = F.filter(
-        F.transform(lines, lambda line, i: F.when(F.rlike(line, F.lit(CUE)), i)), lambda i: i.isNotNull()
-    )
+    speaks = lambda piece: F.rlike(piece, F.lit(CUE))
+    paragraphs = F.filter(F.split(text, r"\n[^\p{L}\p{N}]*\n"), speaks)
+
+    def places(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda line, i: F.when(speaks(line), i)), lambda i: i.isNotNull())
+
+    def run(lines: Column, first: Column, last: Column) -> Column:
+        first = F.greatest(first, F.lit(0))
+        return F.array_join(F.slice(lines, first + 1, last + 1 - first), " ")
+
+    def runs(lines: Column) -> Column:
+        ends = [(before, after) for before in range(BEFORE + 1) for after in range(AFTER + 1)]
+        return F.flatten(F.transform(places(lines), lambda i: F.array(*[run(lines, i - x, i + y) for x, y in ends])))
 
-    def around(i: Column) -> Column:
-        first = F.greatest(i - BEFORE, F.lit(0))
-        return F.array_join(F.slice(lines, first + 1, i + AFTER + 1 - first), " ")
+    def once(array: Column, made) -> Column:
+        """`made` of the array, which is computed once rather than in each inner function."""
+        return F.get(F.transform(F.array(array), made), 0)
 
-    pieces = F.concat(F.transform(places, lambda i: F.get(lines, i)), F.transform(places, around))
+    inside = F.flatten(F.transform(paragraphs, lambda paragraph: once(F.split(paragraph, r"\n"), runs)))
+    around = once(lines, lambda lines: F.transform(places(lines), lambda i: run(lines, i - BEFORE, i + AFTER)))
+    spoken = F.aggregate(paragraphs, F.lit(0), lambda total, paragraph: total + F.length(paragraph))
+    whole = F.when(F.coalesce(named, F.lit(False)) | (2 * spoken >= F.length(text)), F.array(text))
+    pieces = F.concat(inside, around, paragraphs, F.coalesce(whole, F.array().cast("array<string>")))
     tidy = F.transform(pieces, lambda piece: F.trim(F.regexp_replace(piece, r"\s+", " ")))
-    return F.when(F.rlike(text, F.lit(CUE)), F.array_distinct(tidy))
+    return F.when(speaks(text), F.array_distinct(tidy))
 
 
 def _directory(path: Column) -> Column:
@@ -168,7 +194,7 @@ def license_scan(
         rows.select(
             "doc_id",
             "path",
-            _units(F.col("text")).alias("units"),
+            _units(F.col("text"), F.rlike("path", F.lit(FILE_NAMES))).alias("units"),
             F.length("text").alias("size"),
             F.xxhash64("text").alias("mark"),
         )
