@@ -208,6 +208,17 @@ def test_op5_scores_sequences_above_frequencies(spark):
     assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_op5_learns_whatever_the_partitions(spark, partitions):
+    made = random.Random(7)
+    lines = [[f"{a}{i}" for i in range(8)] for a in "abcdef"]
+    texts = [" ".join(sum((made.choice(lines) for _ in range(12)), [])) for _ in range(640)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    shape = language_model.Shape(own=60, shared=4, width=16)
+    held = [r for r in language_model.language_scores(docs, shape=shape).collect() if r.held_out]
+    assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+
+
 @pytest.mark.parametrize("most", [2, 1 << 18])
 def test_op5_odd_rows(odd_documents, no_documents, monkeypatch, most):
     monkeypatch.setattr(language_model, "HELD", most)
