@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm import (
     bpe,
+    collocations,
     decontaminate,
     exact_dedup,
     language_model,
@@ -16,8 +17,10 @@ from ticketlens.llm import (
     near_dedup,
     personal_data,
     quality,
+    secrets,
     token_counts,
     token_files,
+    whitening,
 )
 from ticketlens.llm.common import table, tokenizer_path
 from ticketlens.session import scratch_path
@@ -79,6 +82,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -91,11 +106,20 @@ def queries() -> dict[str, Query]:
         "op8_near_dedup": op8_near_dedup,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_collocations": op11_collocations,
+        "op12_secrets": op12_secrets,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op8_near_dedup": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {
+        "op1_decontaminate": OP1_SQL,
+        "op8_near_dedup": OP8_SQL,
+        "op10_exact_dedup": OP10_SQL,
+        "op11_collocations": OP11_SQL,
+        "op12_secrets": secrets.spans_sql(),
+    }
 
 
 OP10_SQL = r"""
@@ -152,3 +176,38 @@ wins AS (
 SELECT doc_id, item_id, k AS n_matched, least(n, 13) AS n_window, shift AS first_token, n AS item_tokens
 FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k DESC, shift) = 1
 """
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(1, len(ws) - k + 2)),
+    lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS t(k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, ws, a, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, n, cut,
+         (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts JOIN totals ON totals.lang = cuts.lang
+  JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), sizes AS (SELECT lang, a, ws, k, unnest(range(2, k)) AS size FROM c),
+places AS (SELECT lang, a, ws, size, unnest(range(1, k - size + 2)) AS i FROM sizes),
+around AS (
+  SELECT lang, array_to_string(ws[i:i + size - 1], ' ') AS phrase, max(a) AS longer FROM places GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN around ON around.lang = best.lang AND around.phrase = best.phrase
+  WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
