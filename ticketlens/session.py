@@ -39,6 +39,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """`name`, with more underscores until no column of `frames` is called so, in any case."""
+    taken = {column.lower() for frame in frames for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Share a scan of few partitions among all cores; a scan with enough is left as it is.
 
