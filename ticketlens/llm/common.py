@@ -58,21 +58,44 @@ def attach_groups(
     return others.select(*names).unionByName(large_ones.select(*names))
 
 
+#: Parts that the counts of one step are cut into at a time.
+COUNT_PARTS = 1024
+
+
 def frequent_from(counts: DataFrame, most: int, steps: int = 16) -> int:
     """The least count for which at most `most` rows of `counts` have that count or a larger one.
 
-    Rounded up to a `steps`-th of a power of two, so a few hundred sums decide, whatever the table.
+    Rounded up to a `steps`-th of a power of two, so a few hundred sums decide, whatever the table. When that
+    leaves more than half of `most` unused, the step in between is cut finer until the count is exact.
     """
     step = F.floor(F.log2(F.col("count")) * steps).cast("int")
     sums = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    total, least = 0, None
+    total, least, low = 0, 1 << 62, None
     for row in sorted(sums, key=lambda row: -row["step"]):
+        if total + row["rows"] > most:
+            # A little more room than the step, as logarithms are rounded.
+            low = max(0, math.floor(2 ** (row["step"] / steps) * (1 - 1e-9)))
+            break
         total += row["rows"]
-        if total > most:
+        least = max(1, math.ceil(2 ** (row["step"] / steps) * (1 - 1e-9)))
+    high = least if least < 1 << 62 else (low or 0) * 2 + 4
+    while low is not None and 2 * total < most and high - low > 1:
+        width = -(-(high - low) // COUNT_PARTS)
+        part = F.floor((F.col("count") - low) / width).cast("int")
+        within = counts.where((F.col("count") >= low) & (F.col("count") < high))
+        sums = within.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).collect()
+        base = low
+        for row in sorted(sums, key=lambda row: -row["part"]):
+            if total + row["rows"] > most:
+                low, high = base + row["part"] * width, min(high, base + (row["part"] + 1) * width)
+                break
+            total += row["rows"]
+            least = base + row["part"] * width
+        else:
+            break
+        if width == 1:
             break
-        least = row["step"]
-    # A little less than the exact edge, as logarithms are rounded.
-    return 1 << 62 if least is None else max(1, math.ceil(2 ** (least / steps) * (1 - 1e-9)))
+    return least
 
 
 def held_out(id_column: str, parts: int, part: int) -> Column:

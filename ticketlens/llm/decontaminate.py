@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.llm.common import ids_and_texts
-from ticketlens.session import reliable_checkpoint
+from ticketlens.session import free_name, reliable_checkpoint
 
 #: Token positions that count, by mask.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
@@ -150,7 +150,12 @@ def contaminated(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str
 ) -> DataFrame:
-    """`docs` without the documents that hold test items; a null id is dropped if any null id is."""
-    gone = contaminated(docs, benchmark, id_col, text_col, **columns)
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """`docs` without the documents that hold test items; a null id is dropped if any null id is.
+
+    Rows that repeat an id stay or go together; null and empty texts hold nothing and stay, as all do
+    when `benchmark` is empty. An empty table stays empty; all columns are kept, whatever their names.
+    """
+    gone = free_name("gone", docs)
+    found = contaminated(docs, benchmark, id_col, text_col, **columns)
+    found = found.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs[id_col].eqNullSafe(F.col(gone)), "left_anti")

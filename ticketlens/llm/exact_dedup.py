@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ticketlens.llm.common import WHITE_SPACE, attach_groups, ids_and_texts
-from ticketlens.session import reliable_checkpoint
+from ticketlens.session import free_name, reliable_checkpoint
 
 #: Parts that copies of one text are dealt to before the winners meet.
 SALTS = 64
@@ -74,18 +73,19 @@ def _repeated(hashed: DataFrame, salts: int) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group of equal texts, all columns kept.
+    """`docs` with one row of each group of equal texts, all columns kept, whatever their names.
 
-    The row with the smallest id stays; of rows that repeat id and text, one.
+    The row with the smallest id stays, a null id only if the whole group has none; of rows that repeat id and text,
+    one. Null texts are empty. An empty table stays empty.
     """
+    mark, gone, digest = (free_name(name, docs) for name in ("mark", "gone", "digest"))
     groups = exact_groups(docs, id_col, text_col)
     dropped = groups.where(~F.col("kept")).select(
-        F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")
+        F.col("doc_id").alias(gone), F.unhex("text_sha256").alias(digest)
     )
     text = normalised(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    marked = docs.withColumn("__mark", F.unhex(F.sha2(text, 256)))
-    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__digest"))
+    marked = docs.withColumn(mark, F.unhex(F.sha2(text, 256)))
+    same = marked[id_col].eqNullSafe(F.col(gone)) & (F.col(mark) == F.col(digest))
     left = marked.join(dropped, same, "left_anti")
-    order = W.partitionBy(f"`{id_col}`", "__mark").orderBy(F.lit(1))
-    first = left.withColumn("__row", F.row_number().over(order)).where("__row = 1")
-    return first.select([f"`{name}`" for name in docs.columns])
+    # Repeats of a row are combined in each task before they meet.
+    return left.dropDuplicates([id_col, mark]).drop(mark)

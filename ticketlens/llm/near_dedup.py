@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.llm.common import attach_groups, ids_and_texts, sql_type
 from ticketlens.llm.graphs import components
-from ticketlens.session import reliable_checkpoint
+from ticketlens.session import free_name, reliable_checkpoint
 
 #: Buckets of at most so many nodes are compared pair by pair; others take the prefix filter.
 SMALL_BUCKET = 12
@@ -226,17 +226,30 @@ def near_groups(
 
 
 def _buckets(nodes: DataFrame, links: Links) -> DataFrame:
-    """(key, node, size) of all table keys that more than one node has."""
-    first, second = F.slice("halves", 1, links.tables), F.slice("halves", links.tables + 1, links.tables)
+    """(key, node, size) of all table keys that more than one node has.
+
+    Nodes share the key of a pair of halves only if they share both halves, so keys are made of those
+    halves alone that another node has too. Most nodes have none.
+    """
+    halves = nodes.select("node", F.posexplode("halves").alias("at", "half"))
+    met = halves.groupBy("at", "half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = halves.join(met.select("at", "half"), ["at", "half"])
+    lists = shared.groupBy("node").agg(F.collect_list(F.struct("at", "half")).alias("halves"))
+    first = F.filter("halves", lambda x: x["at"] < links.tables)
+    second = F.filter("halves", lambda x: x["at"] >= links.tables)
     keys = F.flatten(
         F.transform(
             first,
-            lambda x, i: F.transform(second, lambda y, j: F.xxhash64(x, y, i * links.tables + j)),
+            lambda x: F.transform(
+                second,
+                lambda y: F.xxhash64(x["half"], y["half"], x["at"] * links.tables + y["at"] - links.tables),
+            ),
         )
     )
-    members = nodes.select("node", F.explode(keys).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return reliable_checkpoint(members.join(shared, "key"))
+    # A row for each node that has a half of either collection in common with another one.
+    members = reliable_checkpoint(lists.select("node", F.explode(keys).alias("key")))
+    repeated = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return reliable_checkpoint(members.join(repeated, "key"))
 
 
 def _pairs(pairs: DataFrame, nodes: DataFrame, links: Links) -> DataFrame:
@@ -325,7 +338,12 @@ def _by_prefix(crowd: DataFrame, texts: DataFrame, links: Links) -> DataFrame:
 def drop_near_copies(
     docs: DataFrame, links: Links = Links(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """`docs` with one document of each group of near copies, the one with the smallest id."""
+    """`docs` with one document of each group of near copies, the one with the smallest id.
+
+    Rows without an id, without a text or without words stay. Rows that repeat an id are one document: they stay
+    or go together. An empty table stays empty; all columns are kept, whatever their names.
+    """
     groups = near_groups(docs, links, id_col, text_col)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = free_name("gone", docs)
+    dropped = groups.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs[id_col] == F.col(gone), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ticketlens.llm.common import held_out
-from ticketlens.session import reliable_checkpoint
+from ticketlens.session import free_name, reliable_checkpoint
 
 #: Statistics of a text, in the order of the array `statistics`.
 STATISTICS = (
@@ -192,8 +192,12 @@ class QualityModel:
     threshold: float = 0.7
 
     def filter(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """The rows of `docs` whose text scores at least the threshold; their columns stay."""
-        name = "__statistics"
+        """The rows of `docs` whose text scores at least the threshold; their columns stay, whatever their names.
+
+        Null texts are empty, and empty texts are scored like all others; repeated rows stay or go together. An empty
+        table stays empty.
+        """
+        name = free_name("statistics", docs)
         scored = with_statistics(docs, text_col, name)
         kept = scored.where(self.rules.score(name) >= self.threshold)
         return kept.select([f"`{c}`" for c in docs.columns])

@@ -158,7 +158,9 @@ def write_token_files(
         ids, counts, offsets, blocks, size = [], [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            values = [part, seq, ids[0], ids[-1], digest, width, sum(counts), ids, counts, offsets]
+            # Null ids come first; the bounds are those of the others, null when there are none.
+            first = next((i for i in ids if i is not None), None)
+            values = [part, seq, first, ids[-1], digest, width, sum(counts), ids, counts, offsets]
             kinds = [pa.int32(), pa.int32(), kind, kind, pa.string(), pa.int32(), pa.int64()]
             kinds += [pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = [pa.array([v], k) for v, k in zip(values, kinds)]
@@ -225,7 +227,8 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a file set, from its files.
 
-    `ids_crc32` is over the ids as little-endian unsigned 32-bit integers, the end id included.
+    `ids_crc32` is over the ids as little-endian unsigned 32-bit integers, the end id included. Null and repeated
+    ids, null and empty texts have their rows as they were written; files of an empty table give none.
     """
     segments = spark.read.parquet(f"{path}/segments")
     index = segment_starts(segments.select("part", "seq", "tokens")).select("part", "seq", "start")
@@ -261,8 +264,11 @@ def read_token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: Sequence) -> DataFrame:
-    """(doc_id, ids) of the given documents; only their segments and blocks are read and opened."""
-    wanted = sorted(set(doc_ids))
+    """(doc_id, ids) of the given documents; only their segments and blocks are read and opened.
+
+    Ids that are not in the files give no row, repeated ones a row for each document; null cannot be asked for.
+    """
+    wanted = sorted({i for i in doc_ids if i is not None})
     segments = spark.read.parquet(f"{path}/segments")
     kind = segments.schema["first_id"].dataType.simpleString()
     if not wanted:
