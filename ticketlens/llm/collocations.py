@@ -47,11 +47,11 @@ class Phrases:
 #: Bytes of text for each hash partition, about 1.4 million n-grams of one and two words.
 PARTITION_BYTES = 1 << 22
 #: Distinct keys that a task holds before it sends its summaries.
-HELD_KEYS = 6_000_000
+HELD_KEYS = 2_000_000
 #: Phrases that a task holds before it sends their counts.
-HELD_PHRASES = 400_000
+HELD_PHRASES = 200_000
 #: Bytes of text that a task takes apart at a time (at least one text).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Bits of the filter for a hash partition, and for all of them (32 MB).
 SLICE_BITS, FILTER_BITS = 1 << 17, 1 << 28
 #: Languages whose totals are broadcast; more are joined by a shuffle.
@@ -163,6 +163,14 @@ def _counted(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _ones(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with how often they occur."""
+    found = np.concatenate([np.zeros(0, np.uint64), *codes])
+    found.sort()
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, int)
+    return found[first], np.diff(np.append(first, len(found)))
+
+
 def _summaries(texts: DataFrame, parts: int, longest: int, pairs=None) -> DataFrame:
     """(part, mass, keys, counts): summaries of n-grams of up to `longest` words.
 
@@ -180,6 +188,10 @@ def _summaries(texts: DataFrame, parts: int, longest: int, pairs=None) -> DataFr
         mass = pa.array(np.add.reduceat(counts, first))
         yield pa.RecordBatch.from_arrays([pa.array(part[first]), mass, *blobs], names=["part", "mass", "keys", "counts"])
 
+    def merged(held: tuple[np.ndarray, np.ndarray], fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        codes, counts = _ones(fresh)
+        return _counted(np.concatenate([held[0], codes]), np.concatenate([held[1], counts]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         fresh, waiting = [], 0
@@ -200,14 +212,12 @@ def _summaries(texts: DataFrame, parts: int, longest: int, pairs=None) -> DataFr
                 fresh.append(codes)
                 waiting += len(codes)
             if waiting >= HELD_KEYS:
-                codes = np.concatenate([held[0], *fresh])
-                held = _counted(codes, np.concatenate([held[1], np.ones(waiting, np.int64)]))
+                held = merged(held, fresh)
                 fresh, waiting = [], 0
                 if len(held[0]) >= HELD_KEYS:
                     yield from sent(*held)
                     held = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        codes = np.concatenate([held[0], *fresh])
-        held = _counted(codes, np.concatenate([held[1], np.ones(waiting, np.int64)]))
+        held = merged(held, fresh)
         if len(held[0]):
             yield from sent(*held)
 
