@@ -12,7 +12,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -583,7 +583,7 @@ def _theme_queries() -> dict[str, Query]:
         vocab = terms.vocabulary(docs, n_docs)
         weights = terms.weigh_terms(terms.term_counts(docs), vocab)
         found = semantic_vectors(weights, docs, n_docs, vocab.count())
-        found = found.select("ticket_id", vector_to_array("features").alias("v"))
+        found = found.withColumnRenamed("features", "v")
         found = found.join(docs.select("ticket_id", "theme_group"), "ticket_id")
         first = found.groupBy("theme_group").agg(F.min_by("v", "ticket_id").alias("first"))
         following = first.select(

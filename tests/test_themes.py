@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ticketlens.operators import clusters as cl
 from ticketlens.operators import terms as tm
 from ticketlens.operators import theme_tables as tt
-from ticketlens.operators.vectors import semantic_vectors
+from ticketlens.operators import vectors as vc
 from ticketlens.plans.themes import build_themes
 from ticketlens.schema import THEME_SCHEMA
 
@@ -162,7 +162,7 @@ def corpus(tickets):
 
 
 def gram_of(vectors):
-    features = [r.features.toArray() for r in vectors.orderBy("ticket_id").collect()]
+    features = [r.features for r in vectors.orderBy("ticket_id").collect()]
     return np.array(features) @ np.array(features).T
 
 
@@ -175,35 +175,83 @@ def exact_gram(matrix):
     return dense @ dense.T
 
 
-def test_vectors_match_the_exact_decomposition(corpus):
-    """Basis over texts and basis over terms both find the leading subspace."""
+@pytest.fixture(params=["one block", "many blocks"])
+def blocks(request, monkeypatch):
+    if request.param == "many blocks":
+        for name, value in (("RUN_ROWS", 16), ("BLOCK_CELLS", 100), ("PART_ROWS", 5), ("CELLS_AT_ONCE", 7)):
+            monkeypatch.setattr(vc, name, value)
+
+
+def test_vectors_match_the_exact_decomposition(corpus, blocks):
     frame, weights, matrix = corpus
-    expected = exact_gram(matrix)
     n_docs, n_terms = matrix.shape
-    over_texts = gram_of(semantic_vectors(weights, frame, n_docs, n_terms))
-    assert np.abs(over_texts - expected).max() < 0.05
-    assert not over_texts[-2:].any()
-    few = weights.where(F.length("term") < 8)
-    kept = few.select("term").distinct().count()
-    assert kept < n_docs
-    over_terms = gram_of(
-        semantic_vectors(few, frame, n_docs, kept, max_basis_rows=n_docs - 1)
-    )
-    both = gram_of(semantic_vectors(few, frame, n_docs, kept))
-    assert np.abs(over_terms - both).max() < 0.05
+    found = gram_of(vc.semantic_vectors(weights, frame, n_docs, n_terms))
+    assert np.abs(found - exact_gram(matrix)).max() < 0.05
+    assert not found[-2:].any()
+    projection = vc.project(weights, frame, n_docs, n_terms)
+    exact = np.linalg.svd(matrix, compute_uv=False)[: len(projection.values)]
+    assert np.allclose(projection.values[:60], exact[:60], rtol=1e-3)
+    assert np.allclose(projection.values, exact, rtol=0.05, atol=0.02)
 
 
-def test_sketch_keeps_every_term(corpus):
-    """Beyond the bound on both sides terms are folded, not dropped."""
+def test_low_rank_is_exact(corpus, blocks):
+    """As many directions as the rank: all products of rows come back."""
     frame, weights, matrix = corpus
-    n_docs, n_terms = matrix.shape
-    assert n_terms > 100
-    folded = gram_of(semantic_vectors(weights, frame, n_docs, n_terms, max_basis_rows=100))
-    topic = np.arange(n_docs - 2) % len(TOPICS)
-    same = topic[:, None] == topic[None, :]
-    real = folded[:-2, :-2]
-    assert real[same].mean() > real[~same].mean() + 0.2
-    assert np.allclose(np.diag(real), 1) and not folded[-2:].any()
+    few = weights.where(F.length("term") < 8)
+    terms = few.select("term").distinct().count()
+    assert 3 < terms < 60
+    twice = few.union(few.withColumn("term", F.concat("term", F.lit(" again"))))
+    rows = vc.project(twice, frame, len(matrix), 2 * terms).rows.orderBy("ticket_id").collect()
+    dense = np.array([r.dense for r in rows])
+    column = {t: j for j, t in enumerate(sorted(r.term for r in few.select("term").distinct().collect()))}
+    exact = np.zeros((len(matrix), terms))
+    order = {i: n for n, i in enumerate(sorted(r.ticket_id for r in frame.select("ticket_id").collect()))}
+    for r in few.collect():
+        exact[order[r.ticket_id], column[r.term]] = r.weight
+    assert np.abs(dense @ dense.T - 2 * exact @ exact.T).max() < 1e-5
+
+
+def test_themes_do_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((300, 7)) + 4 * rng.standard_normal((6, 7))[np.arange(300) % 6]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "ticket_id long, features array<double>")
+    seen = set()
+    for parts in (1, 8, 64):
+        vectors = rows.orderBy(F.xxhash64("ticket_id", F.lit(parts))).repartition(parts)
+        clustering = cl.choose_k(vectors, 300, 2, 12)
+        themes = cl.assign_themes(vectors, clustering).orderBy("ticket_id").select("theme_id").collect()
+        seen.add((clustering.k, tuple(sorted(clustering.scores.items())), tuple(t.theme_id for t in themes)))
+    assert len(seen) == 1
+
+
+def test_every_k_equals_lloyds_and_the_silhouette_by_definition(spark):
+    rng = np.random.default_rng(9)
+    points = rng.standard_normal((150, 4))
+    points[:20] = points[0]
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "ticket_id long, features array<double>")
+    seeds = cl._seed_points(rows, "ticket_id")
+    clustering = cl.choose_k(rows, 150, 2, 9)
+    for k, score in clustering.scores.items():
+        centers = cl._start(seeds, k, 42) / cl.GRID
+        for _ in range(300):
+            near = ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([points[near == c].mean(axis=0) if (near == c).any() else centers[c] for c in range(k)])
+            moved, centers = np.sqrt(((new - centers) ** 2).sum(axis=1)).max(), new
+            if moved < cl.SETTLED:
+                break
+        near = ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+        away = ((points[:, None] - points) ** 2).sum(axis=2)
+        total = 0.0
+        for i, own in enumerate(near):
+            size = (near == own).sum()
+            if size > 1:
+                a = away[i][near == own].sum() / (size - 1)
+                b = min(away[i][near == c].mean() for c in set(near) - {own})
+                total += (b - a) / max(a, b)
+        assert score == pytest.approx(total / len(points), abs=2e-3)
+    assert clustering.k == cl.select_k(clustering.scores)
 
 
 def purity(result, docs):

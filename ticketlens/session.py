@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,6 +35,24 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with the numbers 0, 1, 2, ... in column `name`.
+
+    The rows are written once; sizes are summed up over partitions, so the ordered window has one row for each.
+    """
+    stored = reliable_checkpoint(rows)
+    part, at = free_name("part", rows), free_name("at", rows)
+    place = F.monotonically_increasing_id()
+    placed = stored.withColumn(at, place)
+    sizes = placed.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    firsts = reliable_checkpoint(sizes.select(part, F.coalesce(before, F.lit(0)).alias("first")))
+    numbered = placed.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(firsts), part)
+    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return numbered.select(*columns, (F.col("first") + inside).alias(name))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the session's checkpoint folder, which every executor can reach."""
     _ensure_checkpoint_dir(spark)
