@@ -178,7 +178,7 @@ def exact_gram(matrix):
 @pytest.fixture(params=["one block", "many blocks"])
 def blocks(request, monkeypatch):
     if request.param == "many blocks":
-        for name, value in (("RUN_ROWS", 16), ("BLOCK_CELLS", 100), ("PART_ROWS", 5), ("CELLS_AT_ONCE", 7)):
+        for name, value in (("RUN_TEXTS", 16), ("RUN_TERMS", 40), ("BLOCK_CELLS", 100), ("PART_ROWS", 5), ("CELLS_AT_ONCE", 7)):
             monkeypatch.setattr(vc, name, value)
 
 
