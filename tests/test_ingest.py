@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ticketlens.sources import (
     with_ticket_id,
     write_tickets,
 )
+from ticketlens.sources import records
 from ticketlens.sources import tickets as ticket_source
 
 LEGACY = ["Issue key", "Summary", "Reporter", "Status", "Tipo", "Resolution", "Created",
@@ -253,3 +255,110 @@ def test_filters_reach_the_reader_below_cleaning(spark, tmp_path):
     assert "EqualTo(Tipo,en)" in plan or "In(Tipo, [en])" in plan
     unknown = prepare_frame(stored, now_ts="2024-02-01", filters={"tipos": ["Unknown"]})
     assert [r.Tipo for r in unknown.collect()] == ["Unknown"]
+
+
+# --- records of large files ------------------------------------------------------
+
+
+def random_csv(path, rng, rows, newline="\n"):
+    """Cells with quotes, doubled quotes, line breaks and commas, quoted and bare, some lines empty."""
+    cells = ["", "plain", "a b", '"quoted"', '"with ""two"" quotes"', '"line\nbreak"', '"comma, in"', 'inch 5" pipe',
+             '""', '"\n\n"', '"ends in quote"""', '"""starts"', "ñandú", '"l\n""x""\n, y"']
+    lines = ["key,Summary,Tipo"]
+    for i in range(rows):
+        lines.append(",".join([str(i), rng.choice(cells), rng.choice(cells)]))
+        if rng.random() < 0.1:
+            lines.append("")
+    text = "\n".join(lines) + rng.choice(["", "\n"])
+    with open(path, "w", encoding="utf-8", newline="") as file:
+        file.write(text.replace("\n", newline))
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_split_files_equal_the_whole_file_reader(spark, tmp_path, newline):
+    rng = random.Random(11)
+    random_csv(tmp_path / "a.csv", rng, 300, newline)
+    random_csv(tmp_path / "b.csv", rng, 40, newline)
+    path = str(tmp_path)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    wanted = sorted(map(tuple, reader.csv(path).collect()), key=repr)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64b", "257b", "3000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            [layout] = records.layouts(spark, path)
+            assert layout.carriage_returns == (newline == "\r\n")
+            frame = records.read_split_csv(spark, layout)
+            assert frame.columns == ["key", "Summary", "Tipo"]
+            assert sorted(map(tuple, frame.collect()), key=repr) == wanted
+            if size != "3000b":
+                assert records._file_lines(spark, layout.files).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_export_is_read_by_many_tasks(spark, tmp_path):
+    rows = [[f"T-{i}", f"line\n{i}, \"x\"", "1/5/2024 9:03"] for i in range(200)]
+    path = write_csv(tmp_path / "large.csv", ["key", "Summary", "Created"], rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+        got = read_tickets_csv(spark, path, "key").select("ticket_id", "Summary").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == sorted((r[0], r[1]) for r in rows)
+
+
+def test_header_names_are_those_of_the_reader(spark, tmp_path):
+    header = ["Tipo", "a b", "", "tipo", "x", 'q"q', "x"]
+    path = write_csv(tmp_path / "h.csv", header, [["1"] * 7])
+    with open(path, encoding="utf-8") as file:
+        first = file.readline().rstrip("\n")
+    assert records.header_names(first) == spark.read.option("header", True).option("escape", '"').csv(path).columns
+
+
+def test_headers_are_found_without_reading_on(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(12):
+        columns = ["Summary", "Created", "key"][:: 1 if i % 3 else -1]
+        write_csv(folder / f"{i}.csv", columns, [[str(n)] * 3 for n in range(20_000)])
+    (folder / "empty.csv").write_text("")
+    settings = [spark.conf.get(f"spark.sql.{n}") for n in ("files.maxPartitionBytes", "execution.arrow.maxRecordsPerBatch")]
+    found = records.layouts(spark, str(folder))
+    assert settings == [spark.conf.get(f"spark.sql.{n}") for n in ("files.maxPartitionBytes", "execution.arrow.maxRecordsPerBatch")]
+    assert [(x.header, len(x.files)) for x in found] == [("Summary,Created,key", 8), ("key,Created,Summary", 4)]
+
+
+def scans_and_exchanges(df):
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    return executed.count("FileScan"), executed.count("Exchange hashpartitioning")
+
+
+def test_plan_reads_an_export_once(spark, tmp_path):
+    """Distinct keys: one scan, nothing shuffled. Repeated keys: lookups in that one scan."""
+    rows = [[f"T-{i}", "text", "1/5/2024 9:03"] for i in range(50)]
+    path = write_csv(tmp_path / "once.csv", ["key", "Summary", "Created"], rows)
+    assert scans_and_exchanges(read_tickets_csv(spark, path, "key")) == (1, 0)
+    again = write_csv(tmp_path / "again.csv", ["key", "Summary", "Created"], rows + rows[:3] + [["T-9", "b", "1/5/2024 9:03"]])
+    repeated = read_tickets_csv(spark, again, "key")
+    scans, exchanges = scans_and_exchanges(repeated)
+    assert scans <= 2 and exchanges <= 3
+    ids = [r.ticket_id for r in repeated.collect()]
+    assert len(ids) == len(set(ids)) == 54 and {f"T-{i}" for i in range(3, 50) if i != 9} <= set(ids)
+
+
+@pytest.mark.parametrize("held", [1 << 18, 0])
+def test_ids_with_and_without_broadcast(spark, monkeypatch, held):
+    monkeypatch.setattr(ticket_source, "BROADCAST_KEYS", held)
+    records = [(str(i), "x") for i in range(20)] + [("5", "x"), ("5", "y"), (None, "z"), (" ", "z"), ("", "z"), (" 7 ", "w")]
+    raw = spark.createDataFrame([(*r, "c") for r in records], "key string, Summary string, again string")
+    ids = with_ticket_id(raw, "key").collect()
+    assert sorted([(r.key, r.Summary) for r in ids], key=repr) == sorted(records, key=repr)
+    assert len({r.ticket_id for r in ids}) == len(records)
+    assert {r.ticket_id for r in ids if r.key == "3"} == {"3"}
+    assert {r.ticket_id for r in with_ticket_id(raw.repartition(5), "key").collect()} == {r.ticket_id for r in ids}
+    bare = with_ticket_id(raw).collect()
+    assert len({r.ticket_id for r in bare}) == len(records)

@@ -14,9 +14,12 @@ from ticketlens.schema import (
     OPTIONAL_COLUMNS,
     REQUIRED_COLUMNS,
 )
-from ticketlens.session import spread
+from ticketlens.session import free_name, reliable_checkpoint, spread
+from ticketlens.sources.records import layouts, read_split_csv
 
 COPIES_PER_TASK = 100_000
+#: Repeated keys and digests, of a few dozen bytes each, that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 18
 
 
 def _name(column: str) -> Column:
@@ -31,20 +34,13 @@ def read_tickets_csv(
 ) -> DataFrame:
     """Read one CSV export (a file or a folder of files) as normalised tickets.
 
-    All cells are read as text. Files of a folder may differ in their columns and their order. Spark cannot split a file whose quoted cells hold line
-    breaks, so large exports should come as many files; pass `multi_line=False` when
-    no cell holds a line break and files are then split as usual.
+    All cells are read as text. Files of a folder may differ in their columns and their order. Files larger than
+    a split (`spark.sql.files.maxPartitionBytes`) are read by many tasks, also when quoted cells hold line breaks;
+    pass `multi_line=False` when no cell does, which saves the pass that finds where records end.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-    )
-    raw = _same_headers_together(spark, reader, path)
-    cleaned = [_first_of_repeated_headers(spread(part)) for part in raw]
-    raw = cleaned[0]
-    for part in cleaned[1:]:
+    parts = [_first_of_repeated_headers(spread(part)) for part in _layout_frames(spark, path, multi_line)]
+    raw = parts[0]
+    for part in parts[1:]:
         raw = raw.unionByName(part, allowMissingColumns=True)
     raw = raw.select(
         [
@@ -55,33 +51,35 @@ def read_tickets_csv(
     return normalize_tickets(raw, id_column)
 
 
-def _same_headers_together(spark: SparkSession, reader, path: str) -> list[DataFrame]:
+def _layout_frames(spark: SparkSession, path: str, multi_line: bool) -> list[DataFrame]:
     """One frame for each header row that the files under `path` have.
 
     A reader takes the columns of all its files by the position of the first header, so files of
-    another layout or column order are read apart. The headers come from one pass over the
-    lines; there is one for each file.
+    another layout or column order are read apart.
     """
-    lines = spark.read.text(path)
-    if len(lines.inputFiles()) < 2:
-        return [reader.csv(path)]
-    start = F.col("_metadata.file_block_start") == 0
-    first = (
-        lines.where(start)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            "value",
-            F.monotonically_increasing_id().alias("at"),
-        )
-        .groupBy("file")
-        .agg(F.min_by("value", "at").alias("header"))
+    reader = (
+        spark.read.option("header", True)
+        .option("inferSchema", False)
+        .option("multiLine", multi_line)
+        .option("escape", '"')
     )
-    files: dict[str, list[str]] = {}
-    for row in first.orderBy("file").collect():
-        files.setdefault(row.header.lstrip("\ufeff").rstrip("\r"), []).append(row.file)
-    if len(files) < 2:
+    # Only the list of files is read: their contents are not asked for.
+    files = spark.read.format("binaryFile").load(path).select("length")
+    known = files.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).first()
+    split = _bytes(spark, "spark.sql.files.maxPartitionBytes")
+    large = multi_line and (known["largest"] or 0) > split
+    if not large and known["n"] < 2:
         return [reader.csv(path)]
-    return [reader.csv(paths) for paths in files.values()]
+    found = layouts(spark, path)
+    if large:
+        return [read_split_csv(spark, layout) for layout in found]
+    if len(found) < 2:
+        return [reader.csv(path)]
+    return [reader.csv(layout.files) for layout in found]
+
+
+def _bytes(spark: SparkSession, name: str) -> int:
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
 
 
 def _first_of_repeated_headers(raw: DataFrame) -> DataFrame:
@@ -134,77 +132,75 @@ def with_ticket_id(df: DataFrame, id_column: str | None = None) -> DataFrame:
 
     With a key column the id is its value. Rows whose key is null or blank are named by their
     content, rows that share a key by the key and their content.
-    Content names are the digest of all cells and a copy number. Only digests are shuffled to find
-    the rows that have copies; no other row leaves its task.
+    Content names are the digest of all cells and a copy number. Keys (or digests) are counted at once, combined in
+    tasks; a table without repeats gets its ids in the scan that reads it, with nothing shuffled.
+    Otherwise the repeated keys and the copies are looked up in that scan.
     """
     if "ticket_id" in df.columns:
-        id_column = "__given_id" if id_column == "ticket_id" else id_column
-        given = df.withColumnRenamed("ticket_id", "__given_id")
-        return with_ticket_id(given, id_column).drop("__given_id")
+        given = free_name("given_id", df)
+        id_column = given if id_column == "ticket_id" else id_column
+        renamed = df.withColumnRenamed("ticket_id", given)
+        return with_ticket_id(renamed, id_column).drop(given)
     cells = [_name(c) for c in df.columns]
-    digest = F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
+    key, again, digest = (free_name(name, df) for name in ("key", "again", "digest"))
+    content = F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}))
     if id_column is None:
-        return _named_by_content(df.withColumn("__digest", digest), F.col("__digest"))
-    key = strip_whitespace(_name(id_column).cast("string"))
-    keyed = df.withColumn("__key", F.nullif(key, F.lit("")))
-    repeated = _repeated(keyed.where(F.col("__key").isNotNull()), "__key")
-    marked = keyed.join(repeated.withColumn("__again", F.lit(True)), "__key", "left")
-    plain = F.col("__key").isNotNull() & F.col("__again").isNull()
-    named = marked.where(plain).withColumn("ticket_id", _name(id_column))
-    others = marked.where(~plain).withColumn("__digest", digest)
-    name = F.concat_ws("-", "__key", "__digest")
-    others = _named_by_content(others.drop("__again").withColumn("__name", name), F.col("__name"))
-    columns = [*cells, F.col("ticket_id")]
-    others = others.withColumn("ticket_id", F.col("ticket_id").cast(named.schema["ticket_id"].dataType))
-    return named.select(*columns).unionByName(others.select(*columns))
-
-
-def _repeated(df: DataFrame, column: str) -> DataFrame:
-    """The values of `column` that more than one row has."""
-    return (
-        df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(column)
-    )
-
-
-def _named_by_content(df: DataFrame, name: Column) -> DataFrame:
-    """`df` with `ticket_id`: a name that equal rows share, and their copy number.
+        rows = df.withColumn(digest, content)
+        return _copies_numbered(rows, rows, cells, digest, F.col(digest), None)
+    blank_as_null = F.nullif(strip_whitespace(_name(id_column).cast("string")), F.lit(""))
+    keyed = df.withColumn(key, F.coalesce(blank_as_null, F.lit("")))
+    counted = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    suspects = reliable_checkpoint(counted.where((F.col("n") > 1) | (F.col(key) == "")).select(key))
+    found = suspects.count()
+    if found == 0:
+        return df.withColumn("ticket_id", _name(id_column))
+    # A blank key is told by itself; only repeated keys are looked up.
+    repeated = suspects.where(F.col(key) != "").withColumn(again, F.lit(True))
+    small = found <= BROADCAST_KEYS
+    marked = keyed.join(F.broadcast(repeated) if small else repeated, key, "left")
+    marked = marked.withColumn(again, F.col(again).isNotNull() | (F.col(key) == ""))
+    rows = marked.withColumn(digest, F.when(F.col(again), content))
+    name = F.concat_ws("-", F.nullif(F.col(key), F.lit("")), digest)
+    plain = F.when(~F.col(again), _name(id_column).cast("string"))
+    return _copies_numbered(rows, rows.where(again), cells, digest, name, plain)
+
+
+def _copies_numbered(
+    rows: DataFrame, doubtful: DataFrame, cells: list[Column], digest: str, name: Column, plain: Column | None
+) -> DataFrame:
+    """`cells` of `rows` with `ticket_id`: `plain` where that is given, else `name` and the copy's number.
 
-    Rows with copies are counted (combined map side) and then written out again. Groups
-    of very many copies are first cut into bounded runs spread over tasks, so a group of any
+    Among the `doubtful` rows, digests are counted. Rows with copies are counted whole and then written out
+    again; groups of very many copies are first cut into bounded runs spread over tasks, so a group of any
     size never sits in one task.
     """
-    repeated = _repeated(df.select("__digest"), "__digest")
     number = lambda copy: F.concat_ws("-", name, copy)
-    single = df.join(repeated, "__digest", "left_anti").withColumn("ticket_id", number(F.lit("0")))
-    several = df.join(repeated, "__digest", "left_semi")
-    cells = [_name(c) for c in df.columns]
-    counted = several.groupBy(*cells).agg(F.count(F.lit(1)).alias("__copies"))
-    copies = F.col("__copies")
-
-    few = counted.where(copies <= COPIES_PER_TASK).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))
-    )
-    run = F.explode(
-        F.sequence(
-            F.lit(0).cast("long"), ((copies - 1) / COPIES_PER_TASK).cast("long")
-        )
-    )
-    first = F.col("__run") * COPIES_PER_TASK
-    last = F.least(copies, first + COPIES_PER_TASK) - 1
+    counted = doubtful.groupBy(digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(digest)
+    repeated = reliable_checkpoint(counted)
+    found = repeated.count()
+    single = number(F.lit("0"))
+    own = (single if plain is None else F.coalesce(plain, single)).alias("ticket_id")
+    if found == 0:
+        return rows.select(*cells, own)
+    repeated = F.broadcast(repeated) if found <= BROADCAST_KEYS else repeated
+    kept = [c for c in rows.columns]
+    copies = free_name("copies", rows)
+    several = doubtful.join(repeated, digest, "left_semi").groupBy(*[_name(c) for c in kept])
+    several = reliable_checkpoint(several.agg(F.count(F.lit(1)).alias(copies)))
+    n, copy, run = F.col(copies), free_name("copy", rows), free_name("run", rows)
+    few = several.where(n <= COPIES_PER_TASK).withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    runs = F.sequence(F.lit(0).cast("long"), ((n - 1) / COPIES_PER_TASK).cast("long"))
+    first = F.col(run) * COPIES_PER_TASK
+    last = F.least(n, first + COPIES_PER_TASK) - 1
     many = (
-        counted.where(copies > COPIES_PER_TASK)
-        .withColumn("__run", run)
-        .repartition("__digest", "__run")
-        .withColumn("__copy", F.explode(F.sequence(first, last)))
-        .drop("__run")
-    )
-    copied = few.unionByName(many).withColumn("ticket_id", number(F.col("__copy")))
-    columns = [*cells, F.col("ticket_id")]
-    return (
-        single.select(*columns)
-        .unionByName(copied.select(*columns))
-        .drop("__digest", "__name", "__key")
+        several.where(n > COPIES_PER_TASK)
+        .withColumn(run, F.explode(runs))
+        .repartition(digest, run)
+        .withColumn(copy, F.explode(F.sequence(first, last)))
+        .drop(run)
     )
+    copied = few.unionByName(many).select(*cells, number(F.col(copy).cast("string")).alias("ticket_id"))
+    return rows.join(repeated, digest, "left_anti").select(*cells, own).unionByName(copied)
 
 
 def normalize_tickets(df: DataFrame, id_column: str | None = None) -> DataFrame:
