@@ -70,6 +70,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.eligible_texts(_cleaned(spark, sf_dir))
 
 
+def _stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, cleaned once and written, for queries that read the texts several times."""
+    path = scratch_path(spark, "documents")
+    _documents(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _with_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with links, image markup, greetings and attributes around their text."""
     key = F.col("doc_id").cast("string")
@@ -136,9 +143,7 @@ def _given_groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     Representatives are taken from the texts that have an embedding. Cleaned texts are written once.
     """
-    path = scratch_path(spark, "given")
-    _documents(spark, sf_dir).write.parquet(path)
-    docs = spark.read.parquet(path)
+    docs = _stored_documents(spark, sf_dir)
     number = F.regexp_extract("Agencia", r"([0-9]+)$", 1).cast("int") % 10
     groups = docs.select("ticket_id", number.alias("theme_id"))
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -534,10 +539,10 @@ def _theme_queries() -> dict[str, Query]:
         return _documents(spark, sf_dir).select("ticket_id", "Description_clean")
 
     def tfidf(spark, sf_dir):
-        return terms.tfidf(_documents(spark, sf_dir))
+        return terms.tfidf(_stored_documents(spark, sf_dir))
 
     def by_language(spark, sf_dir):
-        docs = _documents(spark, sf_dir)
+        docs = _stored_documents(spark, sf_dir)
         groups = docs.select("ticket_id", F.col("Tipo").alias("theme_id"))
         return terms.theme_term_weights(terms.tfidf(docs), groups)
 
@@ -598,6 +603,37 @@ def _theme_queries() -> dict[str, Query]:
 
         return both.select("ticket_id", cosine("first").alias("own"), cosine("next").alias("other"))
 
+    def text_cosines(spark, sf_dir):
+        """Cosine of each real text to the next by the 40 most widespread terms, and whether the vectors agree.
+
+        Every term stands there twice, so the directions are more than the rank and the vectors exact.
+        """
+        docs = _stored_documents(spark, sf_dir)
+        widest = F.desc("texts"), "term"
+        path = scratch_path(spark, "weights")
+        terms.tfidf(docs).write.parquet(path)
+        weights = spark.read.parquet(path)
+        top = weights.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).orderBy(*widest).limit(40)
+        few = weights.join(F.broadcast(top.select("term")), "term").select("ticket_id", "term", "weight")
+        twice = few.union(few.withColumn("term", F.concat("term", F.lit(" again"))))
+        found = semantic_vectors(twice, docs, docs.count(), 2 * top.count())
+
+        def beside(df, *names):
+            """`df` with the columns of the following ticket under other names."""
+            return df.withColumn("ticket_id", F.col("ticket_id") - 1).withColumnsRenamed({n: f"next_{n}" for n in names})
+
+        norms = few.groupBy("ticket_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        dots = few.join(beside(few, "weight"), ["ticket_id", "term"]).groupBy("ticket_id").agg(
+            F.sum(F.col("weight") * F.col("next_weight")).alias("dot")
+        )
+        both = found.join(beside(found, "features"), "ticket_id")
+        for part in (dots, norms, beside(norms, "norm")):
+            both = both.join(part, "ticket_id", "left")
+        exact = F.coalesce(F.col("dot") / (F.col("norm") * F.col("next_norm")), F.lit(0.0))
+        products = F.zip_with("features", "next_features", lambda x, y: x * y)
+        learned = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+        return both.select("ticket_id", exact.alias("cosine"), (F.abs(exact - learned) < 1e-4).alias("same"))
+
     def learned(spark, sf_dir):
         path = scratch_path(spark, "cleaned")
         write_tickets(_cleaned(spark, sf_dir), path)
@@ -633,6 +669,7 @@ def _theme_queries() -> dict[str, Query]:
         "theme_example_sentences": sentences,
         "top_theme_sentence": top_sentence,
         "semantic_vectors": vectors,
+        "text_cosines": text_cosines,
         "build_themes": learned,
         "planted_themes": planted,
     }

@@ -467,6 +467,18 @@ THEMES = {
         FROM themes t ORDER BY count DESC, theme_id LIMIT 1""",
     "semantic_vectors": """SELECT doc_id AS ticket_id, CAST(1 AS DOUBLE) AS own,
         CAST(0 AS DOUBLE) AS other FROM documents""",
+    "text_cosines": DOCS
+    + _tfidf("eligible")
+    + """, widest AS (SELECT term FROM weights GROUP BY term ORDER BY count(*) DESC, term LIMIT 40
+), few AS (SELECT ticket_id, term, weight FROM weights JOIN widest USING (term)
+), norms AS (SELECT ticket_id, sqrt(sum(weight * weight)) AS norm FROM few GROUP BY ticket_id
+), dots AS (
+  SELECT a.ticket_id, sum(a.weight * b.weight) AS dot FROM few a
+  JOIN few b ON b.ticket_id = a.ticket_id + 1 AND b.term = a.term GROUP BY a.ticket_id
+)
+SELECT e.ticket_id, round(coalesce(dot / (x.norm * y.norm), 0), 6) AS cosine, true AS same FROM eligible e
+JOIN eligible f ON f.ticket_id = e.ticket_id + 1 LEFT JOIN dots ON dots.ticket_id = e.ticket_id
+LEFT JOIN norms x ON x.ticket_id = e.ticket_id LEFT JOIN norms y ON y.ticket_id = f.ticket_id""",
     "build_themes": DOCS
     + """SELECT CAST(count(*) AS BIGINT) AS total_descriptions,
         CAST(count(*) FILTER (length(clean) >= 20) AS BIGINT) AS eligible_descriptions,
