@@ -288,14 +288,34 @@ def _filter(summaries: DataFrame, parts: int, least: int) -> Filter:
     return Filter(bits, width)
 
 
-def _exact(texts: DataFrame, parts: int, short, long, longest: int) -> DataFrame:
-    """(lang, words, phrase, f): parts of the exact counts of n-grams that pass; words 0 counts all words."""
-    names = ["lang", "words", "phrase", "f"]
+def _exact(texts: DataFrame, parts: int, short, long, options: Phrases) -> DataFrame:
+    """(lang, words, phrase, f): exact counts of n-grams that pass and are frequent; words 0 counts all words.
+
+    A task sends the counts of a hash partition together; there they are added up by language and words.
+    """
+    longest, least = options.longest, options.least
+    names, kinds = ("lang", "words", "phrase", "f"), (pa.string(), pa.int32(), pa.string(), pa.int64())
+    fields = "lang string, words int, phrase string, f long"
 
     def sent(held: dict) -> pa.RecordBatch:
         langs, words, phrases = zip(*held)
-        columns = [pa.array(langs), pa.array(words, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(held.values(), pa.int64())], names=names)
+        seeds = {language: xxhash.xxh3_64_intdigest(language.encode(), seed=2) for language in set(langs)}
+        part = np.array([(xxhash.xxh3_64_intdigest(p) ^ seeds[x]) % parts for x, p in zip(langs, phrases)], np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        offsets = pa.array(np.append(first, len(part)), pa.int32())
+        columns = (langs, words, pa.array(phrases, pa.binary()).cast(pa.string()), list(held.values()))
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(values, kind).take(pa.array(order)))
+            for values, kind in zip(columns, kinds)
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), *lists], names=["part", *names])
+
+    def merge(table: pa.Table) -> pa.Table:
+        flat = pa.table({name: table.column(name).combine_chunks().flatten() for name in names})
+        total = flat.group_by(list(names[:3])).aggregate([("f", "sum")]).rename_columns(list(names))
+        return total.filter(pc.or_(pc.equal(total["words"], 0), pc.greater_equal(total["f"], least)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int, bytes], int] = {}
@@ -336,7 +356,8 @@ def _exact(texts: DataFrame, parts: int, short, long, longest: int) -> DataFrame
         if held:
             yield sent(held)
 
-    return texts.mapInArrow(run, "lang string, words int, phrase string, f long")
+    lists = "part long, lang array<string>, words array<int>, phrase array<string>, f array<long>"
+    return texts.mapInArrow(run, lists).groupBy("part").applyInArrow(merge, fields)
 
 
 def phrase_counts(
@@ -358,8 +379,7 @@ def phrase_counts(
     if longest > 2:
         summaries = _summaries(texts, parts, longest, short)
         long = context.broadcast(_filter(summaries, parts, options.least))
-    counted = _exact(texts, parts, short, long, longest).groupBy("lang", "words", "phrase")
-    return counted.agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= options.least))
+    return _exact(texts, parts, short, long, options)
 
 
 def _big(number: Column) -> Column:
