@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import sys
 import unicodedata
 
 import pytest
@@ -101,6 +102,33 @@ def test_step(name, texts):
         assert row.got == expected(row.text), repr(row.text)
 
 
+def test_fold_of_every_character(spark):
+    """Alone and between letters, marks and long expansions, all code points fold as in Python."""
+    codes = spark.range(0x80, sys.maxunicode + 1, numPartitions=8).where(
+        "id not between 55296 and 57343"
+    )
+    utf8 = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    char = codes.select(utf8.alias("c"))
+    among = F.concat(F.lit("Aﬁ"), "c", F.lit("\u0301각\u0345"), "c", F.lit("\n"))
+    texts = char.select(F.explode(F.array("c", among)))
+    rows = texts.toDF("t").select("t", fn.fold_text(F.col("t")).alias("got")).toPandas()
+    wrong = [t for t, got in zip(rows.t, rows.got) if got != fold(t)]
+    # Characters that Python's version of Unicode does not have yet may have a lower case in the JVM.
+    later = [t for t in wrong if any(unicodedata.category(c) == "Cn" for c in t)]
+    assert len(rows) == 2 * (sys.maxunicode + 1 - 0x80 - 2048)
+    assert [t for t in wrong if t not in set(later)] == []
+    assert len(later) < 200
+
+
+def test_fold_lets_filters_through(spark):
+    df = spark.range(5).select("id", F.lit("É").alias("t"))
+    df = df.repartition(2).select("id", fn.fold_text(F.col("t")).alias("t")).where("id > 2")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") > plan.index("Project") and "reflect" not in plan
+    nulls = spark.createDataFrame([(None,), ("",), ("ÀB",)], "t string")
+    assert [r[0] for r in nulls.select(fn.fold_text(F.col("t"))).collect()] == [None, "", "ab"]
+
+
 def test_whole_chain(texts):
     got = texts.select("text", fn.clean_description(F.col("text")).alias("got")).collect()
     for row in got:

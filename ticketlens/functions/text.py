@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -103,31 +104,101 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, uneven, " "))
 
 
+# --- Fixed values: Hangul syllables and the letters they consist of -------------
+FIRST_SYLLABLE, LAST_SYLLABLE = 0xAC00, 0xD7A3
+LEADS = "".join(chr(0x1100 + i) for i in range(19))
+VOWELS = "".join(chr(0x1161 + i) for i in range(21))
+TRAILS = "".join(chr(0x11A8 + i) for i in range(27))
+# ------------------------------------------------------------------------------
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 @lru_cache(maxsize=1)
-def _combining_class() -> str:
-    """Regex class of all characters with a nonzero canonical combining class."""
+def _foldings() -> dict[str, str]:
+    """What each character becomes that decomposition without combining marks changes.
+
+    Canonical reordering moves combining marks only, so folding works character by
+    character. Hangul syllables follow a rule and are left out.
+    """
+    folded = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if FIRST_SYLLABLE <= code <= LAST_SYLLABLE or unicodedata.category(char) == "Cs":
+            continue
+        parts = unicodedata.normalize("NFKD", char)
+        kept = "".join(c for c in parts if not unicodedata.combining(c))
+        if kept != char:
+            folded[char] = kept
+    return folded
+
+
+def _ranges(chars: list[str]) -> str:
+    """The inside of a regex class of `chars`, which are in order."""
     spans: list[list[int]] = []
-    for code in range(sys.maxunicode + 1):
-        if unicodedata.combining(chr(code)):
-            if spans and spans[-1][1] == code - 1:
-                spans[-1][1] = code
-            else:
-                spans.append([code, code])
-    ranges = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
-    # All of them are marks; testing that first spares other characters the long list.
-    return rf"[\p{{M}}&&[{ranges}]]+"
+    for code in map(ord, chars):
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans)
+
+
+def _syllable_letters(char: Column) -> Column:
+    number = F.ascii(char) - FIRST_SYLLABLE
+    trail = number % (len(TRAILS) + 1)
+    per_lead = len(VOWELS) * (len(TRAILS) + 1)
+    lead = F.floor(number / per_lead).cast("int")
+    vowel = F.floor(number % per_lead / (len(TRAILS) + 1)).cast("int")
+    return F.concat(
+        F.substr(F.lit(LEADS), lead + 1, F.lit(1)),
+        F.substr(F.lit(VOWELS), vowel + 1, F.lit(1)),
+        F.substr(F.lit(TRAILS), trail, F.least(trail, F.lit(1))),
+    )
+
+
+def _spell_out(text: Column) -> Column:
+    """`text` with each character written out that becomes more than one."""
+    several = {char: kept for char, kept in _foldings().items() if len(kept) > 1}
+    syllables = rf"\x{{{FIRST_SYLLABLE:x}}}-\x{{{LAST_SYLLABLE:x}}}"
+    # The first range spares ASCII characters the long list.
+    long = rf"\x{{80}}-\x{{{sys.maxunicode:x}}}&&[{_ranges(list(several))}{syllables}]"
+    place = lambda char: F.instr(F.lit("".join(several)), char)
+    spelled = F.split(F.lit("\n".join(several.values())), "\n")
+
+    def one(piece: Column) -> Column:
+        return (
+            F.when(piece < "\x80", piece)
+            .when(piece.between(chr(FIRST_SYLLABLE), chr(LAST_SYLLABLE)), _syllable_letters(piece))
+            .otherwise(F.coalesce(F.get(spelled, place(piece) - 1), piece))
+        )
+
+    pieces = F.regexp_extract_all(
+        text, F.lit(r"[\x00-\x7f]++|[^\x00-\x7f]"), F.lit(0)
+    )
+    whole = F.array_join(F.transform(pieces, one), "")
+    return F.when(text.rlike(f"[{long}]"), whole).otherwise(text)
 
 
 def fold_text(text: Column) -> Column:
     """Compatibility decomposition, combining marks removed, lower case.
 
-    Spark treats a method called by name as non-deterministic: select the
-    result into a column before aggregating it.
+    ASCII texts are only put in lower case. In others, characters that become one or none are
+    translated, and those that become several are written out where there are any.
     """
-    decomposed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True)
-    )
-    return F.lower(F.regexp_replace(decomposed, _combining_class(), ""))
+    short = {char: kept for char, kept in _foldings().items() if len(kept) <= 1}
+    # Those without a counterpart come last and are removed.
+    order = sorted(short, key=lambda char: not short[char])
+    source, target = "".join(order), "".join(short[char] for char in order)
+
+    def folded(value: Column) -> Column:
+        translated = F.translate(value, source, target)
+        return F.when(value.rlike(r"[^\x00-\x7f]"), _let(translated, _spell_out)).otherwise(value)
+
+    return F.lower(_let(text, folded))
 
 
 def drop_first_words(text: Column, words_to_drop: int = 3) -> Column:
