@@ -23,7 +23,7 @@ from ticketlens.operators import cleaning, clusters, metrics, terms  # noqa: E40
 from ticketlens.operators import theme_tables as tables  # noqa: E402
 from ticketlens.operators.vectors import semantic_vectors  # noqa: E402
 from ticketlens.plans.pipeline import enrich_tickets  # noqa: E402
-from ticketlens.plans.report import report_tables  # noqa: E402
+from ticketlens.plans.report import report_from_states, report_tables, write_report_states  # noqa: E402
 from ticketlens.plans.themes import ThemeResult, build_themes  # noqa: E402
 from ticketlens.session import scratch_path, spread  # noqa: E402
 from ticketlens.sources import (  # noqa: E402
@@ -273,17 +273,15 @@ def _metric_queries() -> dict[str, Query]:
             "touch_time_hours",
         )
 
-    def report(spark, sf_dir):
+    def amounts_of(report, columns):
         """Every number of the report as (table_name, item, amount)."""
-        tickets = _timed(spark, sf_dir, with_people=True)
-        report = report_tables(tickets)
         parts = [
             report[name].select(
                 F.lit(f"{name}.{amount}").alias("table_name"),
                 (F.concat_ws(" ", *key) if key else F.lit("")).alias("item"),
                 F.col(amount).cast("double").alias("amount"),
             )
-            for name, (key, amounts) in REPORT_COLUMNS.items()
+            for name, (key, amounts) in columns.items()
             for amount in amounts
         ]
         union = parts[0]
@@ -291,6 +289,21 @@ def _metric_queries() -> dict[str, Query]:
             union = union.unionByName(part)
         return union
 
+    def report(spark, sf_dir):
+        tickets = _timed(spark, sf_dir, with_people=True)
+        return amounts_of(report_tables(tickets), REPORT_COLUMNS)
+
+    def report_by_month(spark, sf_dir):
+        """The report of stored months, half of which were replaced after the first write."""
+        path = scratch_path(spark, "states")
+        tickets = _timed(spark, sf_dir, with_people=True)
+        even = F.month("Created_dt") % 2 == 0
+        write_report_states(tickets.where(~even | (F.col("Tipo") != "")), path)
+        write_report_states(tickets.where(even), path)
+        columns = REPORT_COLUMNS | {"resolution_time_bins": (["bin"], ["count"])}
+        del columns["resolution_time_histogram"]
+        return amounts_of(report_from_states(spark.read.parquet(path)), columns)
+
     def by_column(column, top_n=None, with_people=False):
         return lambda spark, sf_dir: metrics.count_by_column(
             _created(spark, sf_dir, with_people), column, top_n
@@ -329,6 +342,7 @@ def _metric_queries() -> dict[str, Query]:
         ),
         "sla_compliance": on_timed(metrics.sla_compliance),
         "report_tables": report,
+        "report_by_month": report_by_month,
     }
 
 

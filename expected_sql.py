@@ -139,7 +139,7 @@ def _parts(name: str, item: str, amounts: list[str], sql: str) -> str:
     )
 
 
-REPORT = " UNION ALL ".join(
+MERGED_REPORT = " UNION ALL ".join(
     [
         _parts("tickets_per_day", '"Date"', ["tickets", "rolling_7d"], DAILY),
         _parts("count_by_tipo", '"Tipo"', ["count"], _counts("tipo", "Tipo")),
@@ -153,7 +153,6 @@ REPORT = " UNION ALL ".join(
             ["avg_resolution_time_hours"],
             BY_RESOLVED_DAY,
         ),
-        _parts("resolution_time_histogram", "bin", ["count", "bin_start", "bin_end"], HISTOGRAM),
         _parts("resolution_time_by_tipo", '"Tipo"', ["avg_resolution_time_hours"], BY_TIPO),
         _parts(
             "aging_buckets_open_tickets",
@@ -171,6 +170,14 @@ REPORT = " UNION ALL ".join(
         _parts("sla_compliance", "''", ["sla_pct", "resolved_count", "within_sla_count"], SLA),
     ]
 )
+REPORT = f"""{MERGED_REPORT} UNION ALL {
+    _parts("resolution_time_histogram", "bin", ["count", "bin_start", "bin_end"], HISTOGRAM)
+}"""
+
+HOUR_BINS = """SELECT e.bin AS bin, count(t.resolution_hours) AS count FROM (
+    SELECT *, lead(start, 1, 1000000000) OVER (ORDER BY start) AS until, row_number() OVER (ORDER BY start) AS bin
+    FROM (SELECT unnest([0, 1, 2, 4, 8, 12, 24, 48, 72, 120, 168, 336, 720, 1440, 2160, 4320, 8760]) AS start)) e
+  LEFT JOIN tickets t ON t.resolution_hours >= e.start AND t.resolution_hours < e.until GROUP BY e.bin"""
 
 # --- ingest queries ----------------------------------------------------------
 
@@ -494,6 +501,7 @@ LEFT JOIN norms x ON x.ticket_id = e.ticket_id LEFT JOIN norms y ON y.ticket_id
 EXPECTED: dict[str, str] = {
     **{name: TICKETS + sql for name, sql in METRICS.items()},
     "report_tables": TICKETS + REPORT,
+    "report_by_month": f"{TICKETS}{MERGED_REPORT} UNION ALL {_parts('resolution_time_bins', 'bin', ['count'], HOUR_BINS)}",
     **{name: TICKETS + sql for name, sql in INGEST.items()},
     "parse_ticket_ts": PARSE,
     **TEXTS,

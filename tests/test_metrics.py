@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 from __spark_entry__ import SMOKE_DIR
 from ticketlens.functions import BUCKET_LABELS, aging_bucket
 from ticketlens.operators import metrics as m
-from ticketlens.plans.report import report_tables, write_report
+from ticketlens.plans.report import (
+    merge_states,
+    open_months,
+    report_from_states,
+    report_states,
+    report_tables,
+    write_report,
+    write_report_states,
+)
 from ticketlens.sources import sample_tables
 from ticketlens.sources.sample_tables import order_tickets
 
@@ -266,6 +274,60 @@ def test_report_equals_single_operators(timed, rows, tmp_path, spark):
         assert sorted(rows(stored), key=repr) == sorted(rows(table), key=repr), name
 
 
+def test_stored_months_give_the_report_of_the_whole_table(timed, rows, tmp_path, spark):
+    start = dt.datetime(2023, 11, 20)
+    every = [
+        ticket(
+            i,
+            start + dt.timedelta(hours=9 * i),
+            resolved=start + dt.timedelta(hours=12 * i) if i % 3 else None,
+            status=["Done", "PENDIENTE CLIENTE", "Open"][i % 3 if i > 60 else 0],
+            tipo=[None, "A", "B"][i % 3],
+            reporter=f"R{i % 23}",
+            agencia=f"N{i % 31}",
+        )
+        for i in range(300)
+    ]
+    tickets, path = timed(every), str(tmp_path / "states")
+    month = F.date_format("Created_dt", "yyyyMM").cast("int")
+    # First with a late month that lacks tickets, then that month alone.
+    write_report_states(tickets.where((month < 202402) | (F.col("Tipo") == "A")), path, 24)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "states").rglob("*=202312/*.parquet")}
+    write_report_states(tickets.where(month >= 202402), path, 24)
+    assert before and all(f.stat().st_mtime_ns == time for f, time in before.items())
+    states = spark.read.parquet(path)
+
+    whole, merged = report_tables(tickets, 24), report_from_states(states)
+    assert set(merged) ^ set(whole) == {"resolution_time_histogram", "resolution_time_bins"}
+    for name in set(merged) & set(whole):
+        assert merged[name].columns == whole[name].columns
+        for got, want in zip(rows(merged[name]), rows(whole[name]), strict=True):
+            numbers = [pytest.approx(v, rel=1e-12) if isinstance(v, float) else v for v in want]
+            assert list(got) == numbers, name
+    bins = rows(merged["resolution_time_bins"])
+    assert bins == rows(m.resolution_time_bins(tickets))
+    assert len(bins) == len(m.HOUR_EDGES) + 1 and bins[-1][2] is None
+    hours = [r[0] for r in rows(tickets.select("resolution_time_hours")) if r[0] is not None]
+    for _, least, until, count in bins:
+        assert count == sum(least <= h and (until is None or h < until) for h in hours)
+
+    known = {r.created_month for r in open_months(states).collect()}
+    assert known == {r[0] for r in tickets.where("Status <> 'Done'").select(month).distinct().collect()}
+    assert 202311 not in known
+
+    write_report_states(tickets.where(month == 202312), path, 48)
+    with pytest.raises(Exception, match="more than one SLA threshold"):
+        merge_states(spark.read.parquet(path)).collect()
+
+
+def test_states_of_no_tickets(timed, rows):
+    tables = report_from_states(report_states(timed([])))
+    assert rows(tables["kpis"]) == [(0, 0, 0.0, 0.0, "N/A", "N/A")]
+    assert rows(tables["sla_compliance"]) == [(0.0, 0, 0)]
+    for name in set(tables) - {"kpis", "sla_compliance"}:
+        assert tables[name].count() == 0, name
+
+
 def test_report_of_no_tickets(timed, rows):
     tables = report_tables(timed([]))
     assert rows(tables["kpis"]) == [(0, 0, 0.0, 0.0, "N/A", "N/A")]

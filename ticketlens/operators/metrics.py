@@ -27,6 +27,9 @@ PENDING_CLIENT_LITERAL = r"pende.*cliente"
 
 HISTOGRAM_BINS = 30
 
+# --- Fixed values: inner edges, in hours, of the bins that do not depend on the data ------
+HOUR_EDGES = [1, 2, 4, 8, 12, 24, 48, 72, 120, 168, 336, 720, 1440, 2160, 4320, 8760]
+
 
 # --- Fixed values: columns that a ticket table may lack ------------------------
 OPTIONAL_TYPES = {
@@ -117,10 +120,12 @@ def all_facet_values(df: DataFrame) -> DataFrame:
     )
 
 
-def grouped_by_each(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
+def grouped_by_each(
+    df: DataFrame, keys: list[str], *aggregates: Column, within: Iterable[str] = ()
+) -> DataFrame:
     """`df` grouped by each text column on its own and as a whole, in one pass.
 
-    Returns (slice, key, aggregates): `slice` names the column whose value is `key`,
+    Returns (columns of `within`, slice, key, aggregates): `slice` names the column whose value is `key`,
     and is empty for the row of totals. Null values form no group. Every row is turned into
     one short (number, value) pair per column, which hashes faster than the wide,
     mostly empty keys of grouping sets.
@@ -136,7 +141,7 @@ def grouped_by_each(df: DataFrame, keys: list[str], *aggregates: Column) -> Data
     grouped = (
         df.select("*", F.inline(pairs))
         .where(F.col("key").isNotNull())
-        .groupBy("slice", "key")
+        .groupBy(*within, "slice", "key")
     )
     rows = grouped.agg(*aggregates) if aggregates else grouped.count().drop("count")
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slice") + 1)
@@ -401,6 +406,43 @@ def resolution_time_histogram(
     )
 
 
+def fixed_bin(hours: Column) -> Column:
+    """Number, from 1, of the bin between HOUR_EDGES; a bin holds its lower edge. Null stays null."""
+    passed = sum((F.when(hours >= edge, 1).otherwise(0) for edge in HOUR_EDGES), F.lit(1))
+    return F.when(hours.isNotNull(), passed)
+
+
+def finish_fixed_bins(counts: DataFrame) -> DataFrame:
+    """All bins in order, zeros included; no rows when every count is zero.
+
+    `counts` has (bin, count). The last bin has no end.
+    """
+    wide = counts.agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("held")
+    ).where(F.size("held") > 0)
+    starts = [0.0, *map(float, HOUR_EDGES)]
+    bins = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("bin"),
+                F.lit(start).alias("bin_start"),
+                F.lit(end).cast("double").alias("bin_end"),
+                F.coalesce(F.try_element_at("held", F.lit(i)), F.lit(0)).alias("count"),
+            )
+            for i, (start, end) in enumerate(zip(starts, [*starts[1:], None]), 1)
+        ]
+    )
+    return wide.select(F.inline(bins)).orderBy("bin")
+
+
+def resolution_time_bins(df: DataFrame) -> DataFrame:
+    """Counts of resolution hours between fixed edges, zeros included, so that tables can be added up."""
+    hours = F.col("resolution_time_hours")
+    return finish_fixed_bins(
+        _resolved(df).groupBy(fixed_bin(hours).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    )
+
+
 # --- aging -------------------------------------------------------------------
 
 

@@ -24,6 +24,8 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         warehouse = jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
         fs = warehouse.getFileSystem(sc._jsc.hadoopConfiguration())
         beside = fs.makeQualified(warehouse).getParent()
+        if beside.toUri().getScheme() == "file" and not sc.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors can reach.")
         folder = jvm.org.apache.hadoop.fs.Path(beside, f"spark-warehouse-scratch-{uuid.uuid4().hex}")
         fs.deleteOnExit(folder)  # removed when the session's process ends
         sc.setCheckpointDir(folder.toString())
