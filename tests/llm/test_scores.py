@@ -85,6 +85,41 @@ def test_added_spans_are_secrets_and_not_plain_numbers(spark):
             assert text[span.start : span.end] == span.value
 
 
+def test_planted_added_spans_are_found(spark):
+    """Recall and precision of each added kind on spans planted among numbers that mean nothing."""
+    made = random.Random(3)
+    digits = lambda n: "".join(made.choices("0123456789", k=n))
+    letters = lambda n: "".join(made.choices("abcdefghkmnpqrstuvwxyz23456789", k=n))
+    plant = {
+        "secret": lambda i: ("we use {} there", [f"password=a7{letters(12)}", f"token = {'e3' + letters(180)}",
+                             f"AKIA{letters(16).upper()}", f"ghp_x1{letters(34)}"][i % 4]),
+        "account": lambda i: ("the account is {} there", [f"DE{digits(20)}", f"19{digits(1)}-45-6{digits(3)}"][i % 2]),
+        "local_phone": lambda i: ("please call {} now", [f"(212) 555-{digits(4)}", f"646-555-{digits(4)}"][i % 2]),
+    }
+    texts = []
+    for i in range(240):
+        kind = [*plant][i % 3]
+        frame, span = plant[kind](i // 3)
+        texts.append((frame.format(span), (kind, span)))
+    for i in range(360):
+        texts.append(([f"order {digits(9)} left", f"in row {digits(3)}.{digits(3)}.{digits(4)} of it",
+                       f"the password: {made.choice(['forgotten', 'required', 'missing'])} again"][i % 3], None))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in personal_data.personal_spans(docs).collect()}
+    for kind in personal_data.ADDED_KINDS:
+        code = personal_data.KINDS.index(kind)
+        wanted = {(i, span) for i, (_, planted) in enumerate(texts) if planted for k, span in [planted] if k == kind}
+        got = {(i, s.value) for i, spans in rows.items() for s in spans if s.kind == code}
+        hits = len(wanted & got)
+        assert hits >= 0.9 * len(wanted), (kind, hits, len(wanted), sorted(wanted - got)[:5])
+        assert hits >= 0.9 * len(got), (kind, sorted(got - wanted)[:5])
+    # A thousand times as much of the same is decided alike.
+    counts = personal_data.combination_counts(personal_data.candidate_spans(docs))
+    larger = {key: 1000 * n for key, n in counts.items()}
+    few, many = personal_data.posteriors(counts), personal_data.posteriors(larger)
+    assert all((few[key] > 0.5) == (many[key] > 0.5) for key in counts)
+
+
 def test_posteriors_tell_reliable_labelers(spark):
     counts = {}
     made = random.Random(1)

@@ -41,7 +41,7 @@ PATTERNS = {
 PROPOSED = {
     "secret": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
     r"|(?:ghp_|xox[bp]-|sk-)[0-9A-Za-z-]{16,}"
-    r"|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"',;]{6,64}",
+    r"|(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"',;]{6,}+",
     "account": r"(?<![0-9A-Za-z.+-])(?:[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8,24})(?![0-9A-Za-z-])",
     "local_phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
 }
@@ -175,9 +175,10 @@ def _votes(text: Column, span: Column) -> list[Column]:
     digits = _digits(value)
     tidy = F.rlike(value, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}"))
     quoted = F.rlike(value, F.lit(r"[=:]")) & F.rlike(value, F.lit(r"[0-9]"))
+    issued = F.rlike(value, F.lit(SECRET_PREFIXES))
     formats = (
         F.when(kind < len(BASE_KINDS), _vote(F.lit(True), no))
-        .when(is_kind("secret"), _vote(quoted | F.rlike(value, F.lit(SECRET_PREFIXES)), no))
+        .when(is_kind("secret"), _vote(issued | quoted, ~issued & ~quoted))
         .when(is_kind("account"), _vote(tidy, ~tidy))
         .otherwise(_vote(F.rlike(value, F.lit(r"^\([0-9]{3}\)")), no))
     )
@@ -187,7 +188,7 @@ def _votes(text: Column, span: Column) -> list[Column]:
         .when(is_kind("ip"), _vote(no, F.rlike(value, F.lit(UNROUTED_ADDRESSES))))
         .when(is_kind("card"), _vote(F.rlike(digits, F.lit(CARD_ISSUERS)), no))
         .when(is_kind("phone"), _vote(F.rlike(value, F.lit(COUNTRY_CODES)), no))
-        .when(is_kind("secret"), _vote(F.rlike(value, F.lit(SECRET_PREFIXES)), no))
+        .when(is_kind("secret"), _vote(issued, no))
         .otherwise(F.lit(0))
     )
     first = F.greatest(span["start"] - CONTEXT, F.lit(0))
@@ -195,10 +196,13 @@ def _votes(text: Column, span: Column) -> list[Column]:
     cue = F.lit(False)
     for name in KINDS:
         cue = F.when(is_kind(name), F.rlike(before, F.lit(CUES[name]))).otherwise(cue)
+    # A secret written as key=value has the word before it in the span.
+    cue = cue | (is_kind("secret") & F.rlike(value, F.lit(r"^[^=:]*[A-Za-z][\"']?[\x20\t]*[=:]")))
     context = _vote(cue, ~cue & (is_kind("account") | is_kind("local_phone")))
     mixed = F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
     varied = F.size(F.array_distinct(F.split(digits, ""))) > 3
-    shape = F.when(is_kind("secret") | is_kind("email"), _vote(mixed, ~mixed)).otherwise(_vote(varied, ~varied))
+    # Most numbers have more than three different digits; only having fewer tells something.
+    shape = F.when(is_kind("secret") | is_kind("email"), _vote(mixed, ~mixed)).otherwise(_vote(no, ~varied))
     return [formats, lists, context, shape]
 
 
@@ -256,7 +260,9 @@ def posteriors(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tup
     """Probability that a span of each combination is personal data, by expectation-maximisation.
 
     Labelers vote independently given the truth, each with its own reliability; each kind has its own share
-    of true spans. Counts are smoothed by the labelers' intent: they are right more often than not.
+    of true spans. A labeler that does not vote says nothing either way: word lists that know one form of a
+    secret are no evidence against another. Counts are smoothed by the labelers' intent: they are right more
+    often than not.
     """
     if not counts:
         return {}
@@ -264,16 +270,17 @@ def posteriors(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tup
     n = np.array([counts[key] for key in keys], float)
     kinds = np.array([key[0] for key in keys])
     votes = np.array([key[1 : 1 + len(LABELERS)] for key in keys]) + 1
-    intent = np.array([[6.0, 6.0, 2.0], [1.0, 6.0, 8.0]])  # by truth: against, none, for
+    intent = np.array([[6.0, 0.0, 2.0], [1.0, 0.0, 8.0]])  # by truth: against, none, for
     base = kinds < len(BASE_KINDS)
     truth = np.where(base, 0.95, np.clip(0.5 + 0.2 * (votes - 1).sum(axis=1), 0.05, 0.95))
     for _ in range(rounds):
         log = np.zeros((2, len(keys)))
         for labeler in range(len(LABELERS)):
+            voted = votes[:, labeler] != 1
             for y, weight in ((0, n * (1 - truth)), (1, n * truth)):
-                seen = np.bincount(votes[:, labeler], weight, 3)
-                seen = intent[y] + seen * min(1.0, 1e4 / max(seen.sum(), 1.0))
-                log[y] += np.log(seen / seen.sum())[votes[:, labeler]]
+                seen = intent[y] + np.bincount(votes[:, labeler], weight * voted, 3)
+                shares = np.maximum(seen / seen.sum(), 1e-300)
+                log[y, voted] += np.log(shares)[votes[voted, labeler]]
         for kind in np.unique(kinds):
             at = kinds == kind
             share = (n[at] @ truth[at] + 1) / (n[at].sum() + 2)
