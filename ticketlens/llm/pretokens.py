@@ -15,6 +15,8 @@ import regex
 
 #: Chunks that a task remembers. The memory is given back when it is full; results do not change.
 CACHE_ENTRIES = 400_000
+#: First chunks of texts that a task remembers beside them.
+OPENINGS = 50_000
 #: Longer chunks are computed each time they occur.
 LONGEST_CACHED = 64
 
@@ -87,6 +89,7 @@ class ChunkCache:
         self.entries = entries
         self.known: dict[str, Any] = {}  # by the chunk without its leading space
         self.get = self.known.get
+        self.openings: dict[str, Any] = {}
 
     def values(self, text: str) -> list[Any]:
         """The values of the chunks of `text`, in order."""
@@ -95,20 +98,33 @@ class ChunkCache:
             return self._plain(text)
         found = list(map(self.get, rest))
         if None in found:
-            missing = {part for part, value in zip(rest, found) if value is None}
-            if any(not part or part[-1].isspace() for part in missing):
+            places = [i for i, value in enumerate(found) if value is None]
+            new = list({rest[i]: None for i in places})
+            if any(not part or part[-1].isspace() for part in new):
                 return self._plain(text)
-            if len(self.known) + len(missing) > self.entries:
-                self.known.clear()
-                missing = set(rest)
-            found = self._learned(rest, missing)
-        return [*self.compute([first]), *found] if first else found
-
-    def _learned(self, parts: list[str], missing: set[str]) -> list[Any]:
-        new = list(missing)
-        values = dict(zip(new, self.compute([" " + part for part in new])))
-        self.known.update((k, v) for k, v in values.items() if len(k) <= LONGEST_CACHED)
-        return [values[part] if part in values else self.known[part] for part in parts]
+            values = dict(zip(new, self.compute([" " + part for part in new])))
+            for i in places:
+                found[i] = values[rest[i]]
+            self._remember(values)
+        return [self._opening(first), *found] if first else found
+
+    def _opening(self, chunk: str) -> Any:
+        """The value of the first chunk of a text, which has no space before it."""
+        value = self.openings.get(chunk)
+        if value is None:
+            [value] = self.compute([chunk])
+            if len(self.openings) >= OPENINGS:
+                self.openings.clear()
+            if len(chunk) <= LONGEST_CACHED:
+                self.openings[chunk] = value
+        return value
+
+    def _remember(self, values: dict[str, Any]) -> None:
+        if len(self.known) + len(values) > self.entries:
+            self.known.clear()
+        if max(map(len, values)) > LONGEST_CACHED:
+            values = {k: v for k, v in values.items() if len(k) <= LONGEST_CACHED}
+        self.known.update(values)
 
     def _plain(self, text: str) -> list[Any]:
         chunks = split_chunks(text)
