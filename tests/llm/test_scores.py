@@ -402,6 +402,37 @@ def test_wrapped_notices_are_compared_whole(spark):
     assert [(i, found[i]) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
 
 
+def test_headers_get_their_own_licence(spark):
+    """Versions and variants of a notice, in one line, wrapped and as comments; identifiers; whole licence texts."""
+    foundation = "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    program = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} "
+    kinds = [
+        ("GPL-2.0", "General Public License", "2"),
+        ("GPL-3.0", "General Public License", "3"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "Affero General Public License", "3"),
+    ]
+    notices = [(key, program.format(name) + foundation.format(version)) for key, name, version in kinds]
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = []
+    for key, text in notices:
+        for size in (6, 9, 100):
+            wrapped = _wrapped(text, size)
+            rows += [(key, wrapped), (key, "/*\n * " + wrapped.replace("\n", "\n * ") + "\n */\nint main() { return 0; }")]
+    rows += [("BSD-2-Clause", f"{opening}\n\ncode follows"), ("BSD-3-Clause", f"{opening}\n\n{third}\n\ncode follows")]
+    for key in ("MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "CC-BY-NC-4.0"):
+        rows.append((key, f"// SPDX-License-Identifier: {key}\nint x;"))
+    rows += [("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("AGPL-3.0", "# SPDX-License-Identifier: AGPL-3.0-only")]
+    rows += [(None, "# SPDX-License-Identifier: Zlib"), (None, "the license of the pub was lost"), (None, "license " * 30_000)]
+    docs = spark.createDataFrame(
+        [(i, f"r{i}/a.c", text, i) for i, (_, text) in enumerate(rows)], "doc_id long, path string, text string, mark int"
+    )
+    found = {r.doc_id: r.license for r in licenses.license_scan(docs).collect()}
+    assert [(i, found[i]) for i in range(len(rows))] == [(i, name) for i, (name, _) in enumerate(rows)]
+
+
 def test_op7_on_sample(spark, sample, sample_texts):
     rows = queries.op7_licenses(spark, sample).collect()
     assert sorted(r.doc_id for r in rows) == sorted(sample_texts)
