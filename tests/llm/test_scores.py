@@ -254,6 +254,41 @@ def test_op5_learns_whatever_the_partitions(spark, partitions):
     assert held and sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_op5_scores_equal_brute_force(spark, monkeypatch):
+    """Scores word by word in plain Python, from the same parameters; words are held by tasks or met in a shuffle."""
+    made = random.Random(4)
+    vocabulary = [f"{a}{i}" for a in "stuv" for i in range(9)]
+    texts = [" ".join(made.choices(vocabulary, range(1, 37), k=made.randrange(0, 30))) for _ in range(90)]
+    texts += ["never SEEN s0 \n t1", None, texts[0], "s1 " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shape = language_model.Shape(own=9, shared=5, width=6, batch=64)
+    kept, learn = {}, language_model._train
+    monkeypatch.setattr(language_model, "_train", lambda *given: kept.setdefault("flat", learn(*given)))
+    monkeypatch.setattr(language_model, "HELD", 20)
+    found = {r.doc_id: r.score for r in language_model.language_scores(docs, shape=shape).collect()}
+    model = language_model.Parameters(kept["flat"], shape)
+
+    split = lambda text: (text or "").encode().lower().split() + [b""]
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 for w in split(t))
+    own = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[: shape.own - 1]
+    kinds = {b"": 0} | {w: i + 1 for i, w in enumerate(own)}
+    kind = lambda w: kinds.get(w, shape.own + zlib.crc32(w[-2:]) % shape.shared)
+    total, members = Counter(), Counter()
+    for w, k in counts.items():
+        total[kind(w)] += k
+        members[kind(w)] += 1
+    for i, text in enumerate(texts):
+        score, before = 0.0, [0] * shape.context
+        for w in split(text):
+            p = sum(model.c[j].astype(float) * model.r[before[j]] for j in range(shape.context))
+            each = [math.exp(float(p @ model.q[c]) + float(model.b[c])) for c in range(shape.classes)]
+            score += math.log10(each[kind(w)] / sum(each))
+            if kind(w) >= shape.own:
+                score += math.log10((counts[w] + 0.1) / (total[kind(w)] + 0.1 * (members[kind(w)] + 1)))
+            before = [kind(w), *before[:-1]]
+        assert found[i] == pytest.approx(score, rel=1e-4)
+
+
 @pytest.mark.parametrize("most", [2, 1 << 18])
 def test_op5_odd_rows(odd_documents, no_documents, monkeypatch, most):
     monkeypatch.setattr(language_model, "HELD", most)
