@@ -162,8 +162,14 @@ def _given_groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def _theme_term_weights(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    dictionary = terms.term_dictionary(docs, docs.count())
+    weights = terms.weighted_texts(docs, dictionary)
+    return terms.theme_term_weights(weights, groups, dictionary=dictionary)
+
+
 def _given_themes(given: dict[str, DataFrame]) -> DataFrame:
-    weights = terms.theme_term_weights(terms.tfidf(given["docs"]), given["groups"])
+    weights = _theme_term_weights(given["docs"], given["groups"])
     examples = tables.theme_examples(given["representatives"], given["docs"])
     keywords = terms.theme_keywords(weights)
     return tables.themes_table(given["top"], keywords, examples)
@@ -558,7 +564,7 @@ def _theme_queries() -> dict[str, Query]:
     def by_language(spark, sf_dir):
         docs = _stored_documents(spark, sf_dir)
         groups = docs.select("ticket_id", F.col("Tipo").alias("theme_id"))
-        return terms.theme_term_weights(terms.tfidf(docs), groups)
+        return _theme_term_weights(docs, groups)
 
     def keywords(spark, sf_dir):
         found = terms.theme_keywords(by_language(spark, sf_dir))
@@ -599,9 +605,9 @@ def _theme_queries() -> dict[str, Query]:
         """Cosines of every planted text to one text of its own group and to one of the next group."""
         docs = _planted(spark, sf_dir)
         n_docs = docs.count()
-        vocab = terms.vocabulary(docs, n_docs)
-        weights = terms.weigh_terms(terms.term_counts(docs), vocab)
-        found = semantic_vectors(weights, docs, n_docs, vocab.count())
+        dictionary = terms.term_dictionary(docs, n_docs)
+        weights = terms.weighted_texts(docs, dictionary)
+        found = semantic_vectors(weights, docs, n_docs, dictionary.count())
         found = found.withColumnRenamed("features", "v")
         found = found.join(docs.select("ticket_id", "theme_group"), "ticket_id")
         first = found.groupBy("theme_group").agg(F.min_by("v", "ticket_id").alias("first"))

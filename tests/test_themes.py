@@ -90,6 +90,48 @@ def test_tfidf(n_docs, tickets):
             assert got[key][term] == pytest.approx(weight)
 
 
+@pytest.mark.parametrize("held", [0, 7, 1 << 16])
+def test_weights_whatever_terms_tasks_hold(held, tickets, monkeypatch):
+    """Numbers are dense and fall in frequency; weights equal brute force; a hot term and odd texts."""
+    monkeypatch.setattr(tm, "HELD_TERMS", held)
+    docs = planted(20)
+    docs += [(2000 + i, "x", "s", "d", text) for i, text in enumerate(["", "12 34", "router " * 3000, "Router router"])]
+    expected = brute_tfidf({d[0]: d[4] for d in docs})
+    frame = tickets(docs)
+    dictionary = tm.term_dictionary(frame, len(docs)).orderBy("term_no").collect()
+    assert [r.term_no for r in dictionary] == list(range(len(dictionary)))
+    assert [(r.idf, r.term) for r in dictionary] == sorted((r.idf, r.term) for r in dictionary)
+    assert {r.term for r in dictionary} == {t for weights in expected.values() for t in weights}
+    texts = tm.weighted_texts(frame, tm.term_dictionary(frame, len(docs))).collect()
+    got = {r.ticket_id: {dictionary[c.term_no].term: c.weight for c in r.cells} for r in texts}
+    assert got == {i: pytest.approx(weights) for i, weights in expected.items() if weights}
+    assert all([c.term_no for c in r.cells] == sorted({c.term_no for c in r.cells}) for r in texts)
+    named = {}
+    for r in tm.tfidf(frame).collect():
+        named.setdefault(r.ticket_id, {})[r.term] = r.weight
+    assert named == {i: pytest.approx(weights) for i, weights in got.items()}
+    none = frame.where("false")
+    assert tm.weighted_texts(none, tm.term_dictionary(none, 0)).collect() == []
+
+
+def test_held_dictionary_leaves_one_shuffle(tickets):
+    frame = tickets(planted(3))
+    found = tm.weighted_texts(frame, tm.term_dictionary(frame, frame.count()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(ticket_id") == 1 and "hashpartitioning(term" not in plan
+    assert "Window" not in plan
+
+
+def test_theme_term_weights_by_number(tickets):
+    frame = tickets(planted(8))
+    groups = frame.selectExpr("ticket_id", "ticket_id % 3 as theme_id")
+    dictionary = tm.term_dictionary(frame, frame.count())
+    by_number = tm.theme_term_weights(tm.weighted_texts(frame, dictionary), groups, dictionary=dictionary)
+    by_name = tm.theme_term_weights(tm.tfidf(frame), groups)
+    rows = lambda df: sorted((r.theme_id, r.term, round(r.mean_weight, 9)) for r in df.collect())
+    assert rows(by_number) == rows(by_name) != []
+
+
 def test_texts_are_taken_apart_once(tickets):
     """No filter repeats the tokenising below the shuffle of the texts."""
     plan = tm.term_counts(tickets(planted(2)))._jdf.queryExecution().executedPlan().toString()
@@ -161,6 +203,20 @@ def corpus(tickets):
     return frame, weights, matrix
 
 
+def test_vectors_of_packed_weights(corpus, spark):
+    frame, long, matrix = corpus
+    n_docs, n_terms = matrix.shape
+    dictionary = tm.term_dictionary(frame, n_docs)
+    packed = tm.weighted_texts(frame, dictionary)
+    assert dictionary.count() == n_terms
+    found = gram_of(vc.semantic_vectors(packed, frame, n_docs, n_terms))
+    assert np.abs(found - exact_gram(matrix)).max() < 0.05  # as for long weights
+    two = frame.limit(2)
+    few = tm.term_dictionary(two, 2)
+    plain = gram_of(vc.semantic_vectors(tm.weighted_texts(two, few), two, 2, few.count()))
+    assert np.allclose(np.diag(plain), 1)
+
+
 def gram_of(vectors):
     features = [r.features for r in vectors.orderBy("ticket_id").collect()]
     return np.array(features) @ np.array(features).T

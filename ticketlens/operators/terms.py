@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ticketlens.functions.text import is_noise
+from ticketlens.session import with_numbers
 
 # --- Fixed values: words that never become terms -----------------------------
 STOPWORDS = [
@@ -26,6 +27,9 @@ MAX_NGRAM = 3
 SMALL_CORPUS = 80  # below this many texts a term may occur in only one
 MAX_DF = 0.95
 
+#: So many of the most frequent terms are held by every task.
+HELD_TERMS = 1 << 16
+
 
 def coverage(
     df: DataFrame, text_col: str = "Description_clean", min_chars: int = 20
@@ -111,15 +115,64 @@ def vocabulary(
     )
 
 
-def weigh_terms(
-    counts: DataFrame, vocab: DataFrame, id_col: str = "ticket_id"
+def term_dictionary(
+    docs: DataFrame, n_docs: int | Column, text_col: str = "Description_clean"
 ) -> DataFrame:
-    """(id, term, weight): log term frequency times idf, unit length per text."""
-    raw = counts.join(vocab, "term").select(
-        id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw")
-    )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(id_col)))
-    return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
+    """(term_no, term, idf): the vocabulary, numbered from 0 by falling frequency, then by term.
+
+    Written once. Range partitions are ordered each for itself and numbered by sums of their sizes.
+    """
+    found = vocabulary(docs, n_docs, text_col).orderBy("idf", "term")
+    return with_numbers(found, "term_no").select("term_no", "term", "idf")
+
+
+def weighted_texts(
+    docs: DataFrame,
+    dictionary: DataFrame,
+    id_col: str = "ticket_id",
+    text_col: str = "Description_clean",
+    label: str = "term_no",
+) -> DataFrame:
+    """(id, cells): the terms of each text as (`label`, weight), in order of the label.
+
+    Weights are log term frequency times idf, of unit length per text; texts without a term
+    are left out. `label` is a column of the dictionary. The most frequent terms are looked up in the
+    task that counts the text; the others meet the dictionary in a shuffle, where none of
+    them can be a hot key. A dictionary that tasks hold whole leaves only the shuffle of the texts.
+    """
+    counts = term_counts(docs, id_col, text_col)
+    held = dictionary.where(F.col("term_no") < HELD_TERMS)
+    held = held.select("term", F.col(label).alias("label"), "idf")
+    if dictionary.count() <= HELD_TERMS:
+        met = counts.join(F.broadcast(held), "term")
+    else:
+        near = counts.join(F.broadcast(held.withColumnRenamed("term", "held")), F.col("term") == F.col("held"), "left")
+        # Rows that are looked up already go along under a key of their text, which is no term.
+        own = F.concat(F.lit(" "), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+        known = F.col("held").isNotNull()
+        near = near.select(id_col, "tf", "label", "idf", F.when(known, own).otherwise(F.col("term")).alias("key"))
+        far = dictionary.where(F.col("term_no") >= HELD_TERMS).select(
+            F.col("term").alias("key"), F.col(label).alias("far"), F.col("idf").alias("far_idf")
+        )
+        # Each task holds its part of the dictionary, so that the far larger counts are not sorted.
+        met = near.join(far.hint("shuffle_hash"), "key", "left").select(
+            id_col, "tf", F.coalesce("label", "far").alias("label"), F.coalesce("idf", "far_idf").alias("idf")
+        )
+        met = met.where(F.col("label").isNotNull())
+    cell = F.struct(F.col("label").alias(label), ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    packed = met.groupBy(id_col).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    length = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["raw"] * c["raw"]))
+
+    def divided(by: Column) -> Column:
+        return F.transform("cells", lambda c: F.struct(c[label].alias(label), (c["raw"] / by).alias("weight")))
+
+    # The length is an element of an array, so that it is not computed again for each cell.
+    return packed.select(id_col, F.get(F.transform(F.array(length), divided), 0).alias("cells"))
+
+
+def cells(texts: DataFrame, id_col: str = "ticket_id") -> DataFrame:
+    """(id, label, weight), one row for each cell of `weighted_texts`."""
+    return texts.select(id_col, F.explode("cells").alias("cell")).select(id_col, "cell.*")
 
 
 def tfidf(
@@ -130,8 +183,8 @@ def tfidf(
 ) -> DataFrame:
     """TF-IDF as a long table (id, term, weight)."""
     n = docs.select(F.count(F.lit(1))).scalar() if n_docs is None else n_docs
-    counts = term_counts(docs, id_col, text_col)
-    return weigh_terms(counts, vocabulary(docs, n, text_col), id_col)
+    dictionary = term_dictionary(docs, n, text_col)
+    return cells(weighted_texts(docs, dictionary, id_col, text_col, "term"), id_col)
 
 
 def theme_sizes(groups: DataFrame) -> DataFrame:
@@ -144,20 +197,23 @@ def theme_term_weights(
     groups: DataFrame,
     id_col: str = "ticket_id",
     sizes: DataFrame | None = None,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Mean weight of each term over all texts of its theme, texts without it included.
 
     Means are rounded to twelve places: sums differ in their last digits with the order
     of addition, and equal means must stay equal to be ranked by term. `sizes`
-    (theme_id, count) saves counting the groups again.
+    (theme_id, count) saves counting the groups again. With a `dictionary`, `weights` are
+    the rows of `weighted_texts`; numbers are added up, and only the sums are given their terms.
     """
     if sizes is None:
         sizes = theme_sizes(groups)
-    sums = (
-        weights.join(groups.select(id_col, "theme_id"), id_col)
-        .groupBy("theme_id", "term")
-        .agg(F.sum("weight").alias("total"))
-    )
+    placed = weights.join(groups.select(id_col, "theme_id"), id_col)
+    if dictionary is None:
+        sums = placed.groupBy("theme_id", "term").agg(F.sum("weight").alias("total"))
+    else:
+        numbers = cells(placed, "theme_id").groupBy("theme_id", "term_no")
+        sums = numbers.agg(F.sum("weight").alias("total")).join(dictionary, "term_no")
     return sums.join(sizes, "theme_id").select(
         "theme_id",
         "term",
