@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as registered
 from ticketlens import functions as fn
 from ticketlens.operators.cleaning import clean_tickets, fill_defaults
+from ticketlens.operators.terms import eligible_texts
 
 # What each step removes, written for Python's `re`.
 EXT = "(?:png|jpg|jpeg|gif|webp|svg|bmp|heic)"
@@ -179,3 +180,44 @@ def test_clean_tickets(spark):
     assert [r.NLP_Eligible for r in got] == [True, False, False]
     assert got[0].Tipo == got[0]["Issue Type"] == "Unknown"
     assert fill_defaults(raw).first().Resolution == ""
+
+
+def test_eligible_texts_are_cleaned_once(spark):
+    """Choosing by the length of the cleaned text does not clean it a second time."""
+    raw = spark.createDataFrame([(1, "uno dos tres " + "cuatro cinco seis " * 3), (2, "corto"), (3, None)], "i int, Description string")
+    found = eligible_texts(clean_tickets(raw.repartition(2))).select("i", "Description_clean")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    assert [r.i for r in found.collect()] == [1]
+
+
+def test_odd_letters(spark):
+    """No other character beyond ASCII is one of the letters that steps look for."""
+    chars = [chr(c) for c in range(0x80, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    letters = "".join(sorted(set("".join(fn.text.IMAGE_HINTS + fn.text.GREETING_HINTS + ["www."])) - {"."}))
+    same = " || ".join(f"c rlike '(?iuU){x}'" for x in letters).replace("||", "or")
+    found = spark.createDataFrame([(c,) for c in chars], "c string").where(same).collect()
+    assert {r.c for r in found} <= set(fn.text.ODD_LETTERS)
+
+
+def test_steps_left_out_change_nothing(spark):
+    """The chain equals all of its steps one after the other, also for odd letters and signs without what they belong to."""
+    rng = random.Random(9)
+    parts = ["image", "ıMAGEN", " ", "ſvg", ".png", "!", "=", "alt = ", "width=3", "<", "<ımg ", "src>", "[a|http://x]",
+             "![", "](x)", "www.", "WWW.é", "hola", "buen dıa", "saludoſ", "\x85", "\xa0", "\n", ".", "é", "한", "K", "ab", " cd "]
+    texts = [("".join(rng.choices(parts, k=rng.randint(0, 20))),) for _ in range(3000)]
+
+    def all_steps(text):
+        steps = (
+            fn.strip_smart_links, fn.strip_image_embeds, fn.strip_markdown_images, fn.strip_img_tags,
+            fn.strip_image_filenames, fn.strip_image_attrs, fn.strip_urls, fn.strip_image_words, fn.fold_text,
+            fn.strip_greetings, fn.drop_first_words,
+        )
+        for step in steps:
+            text = step(text)
+        return text
+
+    df = spark.createDataFrame(texts, "text string").repartition(8)
+    df = df.select("text", fn.clean_description(F.col("text")).alias("got"))
+    step_by_step = df.select("text", "got", all_steps(F.col("text")).alias("expected"))
+    assert step_by_step.where("got != expected").collect() == []

@@ -11,13 +11,16 @@ from __future__ import annotations
 import sys
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _W = r"\p{L}\p{N}_"
 _S = r"\s\x1c-\x1f"
+# The whitespace of ASCII by its members: Java tests a class of single characters by one look into a table.
+_BLANKS = r"\t\x0b\f\r\x1c\x1d\x1e\x1f\x20"
 _FLAGS = "(?iuU)"
 _WORD_START = rf"(?<![{_W}])"
 _WORD_END = rf"(?![{_W}])"
@@ -50,6 +53,12 @@ GREETING_PHRASES = [
 ]
 GREETING = rf"{_WORD_START}(?:{'|'.join(GREETING_PHRASES)}){_WORD_END}[:,;\-{_S}]*"
 SENTENCE_BREAKS = r".!?\n;:"
+
+# --- Fixed values: what a text holds, in any case, in which a step above finds something -----
+IMAGE_HINTS = ["image", "png", "jpg", "jpeg", "gif", "webp", "svg", "bmp", "heic"]
+GREETING_HINTS = ["buen", "hola", "estimado", "saludo"]
+#: The characters beyond ASCII that are equal to an ASCII letter when case is ignored.
+ODD_LETTERS = "\u0130\u0131\u017f\u212a"
 NOISE_KEYWORD = rf"(?:^|[{_S}_-])(?:{NOISE_WORDS})(?:$|[{_S}_-])"
 
 
@@ -101,7 +110,21 @@ def strip_whitespace(text: Column) -> Column:
 def collapse_whitespace(text: Column) -> Column:
     """Single spaces between words, none around; single spaces are not rewritten."""
     uneven = rf"(?U)[{_S}]{{2,}}|[{_S}&&[^ ]]"
-    return F.trim(F.regexp_replace(text, uneven, " "))
+    not_space = _BLANKS.replace(r"\x20", r"\n")
+    in_ascii = rf"(?:[{not_space}]|\x20[{_BLANKS}\n])[{_BLANKS}\n]*+"
+    return F.trim(_blank_out_by_script(text, in_ascii, uneven))
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def _blank_out_by_script(text: Column, in_ascii: str, pattern: str) -> Column:
+    """`pattern` blanked out; `in_ascii` says the same of ASCII texts."""
+    return _let(
+        text,
+        lambda t: F.when(_is_ascii(t), F.regexp_replace(t, in_ascii, " ")).otherwise(F.regexp_replace(t, pattern, " ")),
+    )
 
 
 # --- Fixed values: Hangul syllables and the letters they consist of -------------
@@ -196,7 +219,7 @@ def fold_text(text: Column) -> Column:
 
     def folded(value: Column) -> Column:
         translated = F.translate(value, source, target)
-        return F.when(value.rlike(r"[^\x00-\x7f]"), _let(translated, _spell_out)).otherwise(value)
+        return F.when(_is_ascii(value), value).otherwise(_let(translated, _spell_out))
 
     return F.lower(_let(text, folded))
 
@@ -209,29 +232,63 @@ def drop_first_words(text: Column, words_to_drop: int = 3) -> Column:
     """
     if words_to_drop <= 0:
         return text
+    breaks = SENTENCE_BREAKS
     opening = (
-        rf"(?U)(?:\A|[{SENTENCE_BREAKS}])[{SENTENCE_BREAKS}{_S}]*+"
-        rf"(?:[^{_S}{SENTENCE_BREAKS}]++[{_S}&&[^\n]]*+){{0,{words_to_drop}}}+"
+        rf"(?U)(?:\A|[{breaks}])[{breaks}{_S}]*+"
+        rf"(?:[^{_S}{breaks}]++[{_S}&&[^\n]]*+){{0,{words_to_drop}}}+"
+    )
+    in_ascii = (
+        rf"(?:\A|[{breaks}])[{breaks}{_BLANKS}]*+"
+        rf"(?:[^{_BLANKS}{breaks}]++[{_BLANKS}]*+){{0,{words_to_drop}}}+"
     )
-    return collapse_whitespace(F.regexp_replace(text, opening, " "))
+    return collapse_whitespace(_blank_out_by_script(text, in_ascii, opening))
+
+
+def _holds(text: Column, lower: Column, words: list[str]) -> Column:
+    """Whether one of `words` may stand in `text` in any case; true for odd letters."""
+    odd = reduce(or_, [F.contains(text, F.lit(char)) for char in ODD_LETTERS])
+    return reduce(or_, [F.contains(lower, F.lit(word)) for word in words]) | (~_is_ascii(text) & odd)
+
+
+def _strip_markup(text: Column) -> Column:
+    """All markup steps; those are left out that find nothing, as what they look for is not in `text`.
+
+    Steps put single spaces in place of what they find, so no step makes such a sign or word for a later one.
+    """
+
+    def hints(raw: Column) -> Column:
+        images = lambda lower: F.array(_holds(raw, lower, IMAGE_HINTS), _holds(raw, lower, ["www."]))
+        links = F.contains(raw, F.lit("://"))
+        return F.struct(raw.alias("raw"), links.alias("links"), _let(F.lower(raw), images).alias("words"))
+
+    def stripped(given: Column) -> Column:
+        has = lambda sign: F.contains(given["raw"], F.lit(sign))
+        text, links, images, www = given["raw"], given["links"], given["words"][0], given["words"][1]
+        for step, needed in (
+            (strip_smart_links, links & has("[")),
+            (strip_image_embeds, images & has("!")),
+            (strip_markdown_images, has("![")),
+            (strip_img_tags, has("<")),
+            (strip_image_filenames, images & has(".")),
+            (strip_image_attrs, has("=")),
+            (strip_urls, links | www),
+            (strip_image_words, images),
+        ):
+            text = _where(needed, step, text)
+        return text
+
+    return _let(text, lambda raw: _let(hints(raw), stripped))
+
+
+def _where(needed: Column, step: Callable[[Column], Column], text: Column) -> Column:
+    return _let(text, lambda value: F.when(needed, step(value)).otherwise(value))
 
 
 def clean_description(text: Column, words_to_drop: int = 3) -> Column:
     """The whole cleaning chain; null becomes the empty string."""
-    cleaned = F.coalesce(text, F.lit(""))
-    for step in (
-        strip_smart_links,
-        strip_image_embeds,
-        strip_markdown_images,
-        strip_img_tags,
-        strip_image_filenames,
-        strip_image_attrs,
-        strip_urls,
-        strip_image_words,
-        fold_text,
-        strip_greetings,
-    ):
-        cleaned = step(cleaned)
+    folded = fold_text(_strip_markup(F.coalesce(text, F.lit(""))))
+    greeted = lambda value: _where(_holds(value, value, GREETING_HINTS), strip_greetings, value)
+    cleaned = _let(folded, greeted)
     if words_to_drop <= 0:
         return collapse_whitespace(cleaned)
     return drop_first_words(cleaned, words_to_drop)

@@ -47,8 +47,9 @@ def eligible_texts(
     df: DataFrame, text_col: str = "Description_clean", min_chars: int = 20
 ) -> DataFrame:
     """Rows whose text, null taken as empty, has at least `min_chars` characters."""
-    text = F.coalesce(text_col, F.lit(""))
-    return df.withColumn(text_col, text).where(F.length(text_col) >= min_chars)
+    # A filter would go below the column and compute it a second time; a generator stays above.
+    long = F.filter(F.array(F.coalesce(text_col, F.lit(""))), lambda text: F.length(text) >= min_chars)
+    return df.withColumn(text_col, F.explode_outer(long)).where(F.col(text_col).isNotNull())
 
 
 def tokens(text: Column) -> Column:
