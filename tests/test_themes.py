@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -429,3 +430,44 @@ def test_ranks_and_parameters(spark):
     assert tt.theme_params(12) == {"top_keywords": 12, "label_terms": 6, "top_representatives": 6}
     assert tt.theme_params(20) == {"top_keywords": 20, "label_terms": 8, "top_representatives": 10}
     assert tt.theme_params(4) == {"top_keywords": 4, "label_terms": 3, "top_representatives": 3}
+
+
+def test_repeated_ids_and_odd_rows_in_batches(tickets, monkeypatch):
+    """Texts of one id are weighted together, a null id is an id, and n-grams never cross texts; in many batches."""
+    docs = planted(20)
+    docs += [(3, "x", "s", "d", "router cable"), (3, "x", "s", "d", "cable router"), (None, "x", "s", "d", "router clave"),
+             (None, "x", "s", "d", "clave papel"), (5000, "x", "s", "d", None)]
+    frame = tickets(docs)
+    dictionary = tm.term_dictionary(frame, len(docs))
+
+    def cells(texts):
+        return {r.ticket_id: {c.term_no: pytest.approx(c.weight) for c in r.cells} for r in texts.collect()}
+
+    held = cells(tm.weighted_texts(frame, dictionary))
+    monkeypatch.setattr(tm, "HELD_TERMS", 0)
+    monkeypatch.setattr(tm, "BATCH_CHARS", 500)
+    monkeypatch.setattr(tm, "TOKENS_AT_ONCE", 30)
+    rows = tm.weighted_texts(frame, dictionary).collect()
+    assert len(rows) == len(held) and None in held
+    assert {r.ticket_id: {c.term_no: c.weight for c in r.cells} for r in rows} == held
+    again = tm.term_dictionary(frame, len(docs)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, dictionary.collect()))
+
+
+def test_tasks_of_terms_grow_with_the_texts(tickets, monkeypatch):
+    """No task of the vocabulary, the weights or the sums of themes grows with the table."""
+    frame = tickets(planted(20))
+    exchanges = lambda df: re.findall(r"(?:hash|range)partitioning\((.*?), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(tm, "BATCH_CHARS", 100)
+    monkeypatch.setattr(tm, "TERMS_PER_TASK", 5)
+    monkeypatch.setattr(tm, "HELD_TERMS", 0)
+    chars = sum(len(d[4]) for d in planted(20))
+    dictionary = tm.term_dictionary(frame, frame.count())
+    texts = tm.weighted_texts(frame, dictionary)
+    groups = frame.selectExpr("ticket_id", "ticket_id % 3 as theme_id")
+    sums = tm.theme_term_weights(texts, groups, dictionary=dictionary)
+    least = {"vocabulary": chars // 100, "texts": chars // 100, "sums": chars // 100}
+    for name, df in (("vocabulary", tm.vocabulary(frame, frame.count())), ("texts", texts)):
+        found = exchanges(df)
+        assert found and all(int(n) >= least[name] for _, n in found), name
+    assert any("term_no" in key and int(n) > dictionary.count() // 5 for key, n in exchanges(sums))
