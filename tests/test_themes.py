@@ -471,3 +471,10 @@ def test_tasks_of_terms_grow_with_the_texts(tickets, monkeypatch):
         found = exchanges(df)
         assert found and all(int(n) >= least[name] for _, n in found), name
     assert any("term_no" in key and int(n) > dictionary.count() // 5 for key, n in exchanges(sums))
+
+
+def test_few_terms_are_not_cut_where_texts_are(monkeypatch):
+    """All texts are sent to each run of terms, so there are no more runs than the cores need."""
+    assert vc._Grid.of(3_000_000, 330, 3_000_000 * 33, 12).term_runs == 1
+    assert vc._Grid.of(49_453, 3_508_091, 30_000_000, 8).text_runs == 1
+    assert vc._Grid.of(1000, 80, 20_000, 8).term_runs == 8
