@@ -332,6 +332,41 @@ def test_headers_are_found_without_reading_on(spark, tmp_path):
     assert [(x.header, len(x.files)) for x in found] == [("Summary,Created,key", 8), ("key,Created,Summary", 4)]
 
 
+def test_headers_are_found_without_python_tasks(spark, tmp_path, monkeypatch):
+    """Also where a file has many splits: only its first one holds the header."""
+    folder = tmp_path / "few"
+    folder.mkdir()
+    for i in range(3):
+        write_csv(folder / f"{i}.csv", ["key", "Summary"] if i else ["Summary", "key"], [[str(n)] * 2 for n in range(200)])
+    (folder / "marked.csv").write_bytes(b"\xef\xbb\xbfkey,Summary\n1,2\n")
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", None)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = records.layouts(spark, str(folder))
+            assert [(x.header, x.carriage_returns, len(x.files)) for x in found] == [
+                ("Summary,key", True, 1), ("key,Summary", False, 1), ("key,Summary", True, 2)
+            ]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_split_files_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """The pieces at the ends of blocks meet once, not each time that the records are read."""
+    rows = [[f"T-{i}", f"line\n{i}, \"x\"", "1/5/2024 9:03"] for i in range(200)]
+    path = write_csv(tmp_path / "large.csv", ["key", "Summary", "Created"], rows)
+    monkeypatch.setattr(ticket_source, "spread", None)  # it would count partitions, which runs the shuffle
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+        tickets = read_tickets_csv(spark, path, "key")
+        assert scans_and_exchanges(tickets) == (1, 0)
+        assert tickets.count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def scans_and_exchanges(df):
     executed = df._jdf.queryExecution().executedPlan().toString()
     return executed.count("FileScan"), executed.count("Exchange hashpartitioning")

@@ -192,7 +192,10 @@ def csv_records(spark: SparkSession, paths: list[str], carriage_returns: bool =
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
-    """Whole records as they are, and those whose begin (2) and further pieces (1) lie in several blocks put together."""
+    """Whole records as they are, and those whose begin (2) and further pieces (1) lie in several blocks put together.
+
+    The latter, at most one for each block, are stored: their shuffle is not repeated by each reader of the records.
+    """
     whole = pieces.where("kind = 0").select("file", "first", "record")
     parts = pieces.where("kind > 0")
     order = W.partitionBy("file").orderBy("block", "kind")
@@ -202,7 +205,8 @@ def _joined(pieces: DataFrame) -> DataFrame:
     longer = parts.groupBy("file", "owner").agg(
         F.max("first").alias("first"), F.array_join(F.transform(texts, lambda x: x["record"]), "\n").alias("record")
     )
-    return whole.union(longer.select("file", "first", "record")).where("record != ''")
+    longer = reliable_checkpoint(longer.select("file", "first", "record"))
+    return whole.union(longer).where("record != ''")
 
 
 def header_names(header: str) -> list[str]:
@@ -228,33 +232,24 @@ def read_split_csv(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, header, carriage_returns): the first line of every file under `path`; tasks read no further than their reader's buffer.
+    """(file, header, carriage_returns): the first line of every file under `path`.
 
-    For this one job each file is a partition of its own, of which the task takes one row.
+    Lines are passed over where they are read, in as many tasks as files have splits. A Python task that stops after
+    its first row would be sent the others all the same, and in small batches for many times the cost.
     """
-    wanted = {
-        "spark.sql.files.maxPartitionBytes": str(1 << 40),
-        "spark.sql.files.openCostInBytes": str(1 << 40),
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
-    }
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            if rows.num_rows:
-                yield rows.slice(0, 1)
-                return
-
-    before = {name: spark.conf.get(name) for name in wanted}
+    split = "spark.sql.files.maxPartitionBytes"
+    cost = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
     try:
-        for name, value in wanted.items():
-            spark.conf.set(name, value)
-        found = _file_lines(spark, [path]).mapInArrow(run, "file string, block long, header string")
-        header = F.regexp_replace("header", r"\A\x{FEFF}|\r\z", "").alias("header")
-        ends = F.endswith("header", F.lit("\r")).alias("carriage_returns")
-        return reliable_checkpoint(found.where("block = 0").select("file", header, ends))
+        # For this one job each split is a partition of its own, so the first row of the first one is the header.
+        spark.conf.set(cost, spark.conf.get(split))
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        found = _file_lines(spark, [path]).withColumn("row", row).where("block = 0 and row = 0")
+        header = F.regexp_replace("value", r"\A\x{FEFF}|\r\z", "").alias("header")
+        ends = F.endswith("value", F.lit("\r")).alias("carriage_returns")
+        return reliable_checkpoint(found.select("file", header, ends))
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        spark.conf.set(cost, before)
 
 
 def layouts(spark: SparkSession, path: str) -> list[Layout]:

@@ -38,7 +38,7 @@ def read_tickets_csv(
     a split (`spark.sql.files.maxPartitionBytes`) are read by many tasks, also when quoted cells hold line breaks;
     pass `multi_line=False` when no cell does, which saves the pass that finds where records end.
     """
-    parts = [_first_of_repeated_headers(spread(part)) for part in _layout_frames(spark, path, multi_line)]
+    parts = [_first_of_repeated_headers(part) for part in _layout_frames(spark, path, multi_line)]
     raw = parts[0]
     for part in parts[1:]:
         raw = raw.unionByName(part, allowMissingColumns=True)
@@ -55,7 +55,8 @@ def _layout_frames(spark: SparkSession, path: str, multi_line: bool) -> list[Dat
     """One frame for each header row that the files under `path` have.
 
     A reader takes the columns of all its files by the position of the first header, so files of
-    another layout or column order are read apart.
+    another layout or column order are read apart. Scans of whole files are shared among the cores; files read by
+    splits are so already, and counting their partitions would run the shuffle of their pieces.
     """
     reader = (
         spark.read.option("header", True)
@@ -69,13 +70,13 @@ def _layout_frames(spark: SparkSession, path: str, multi_line: bool) -> list[Dat
     split = _bytes(spark, "spark.sql.files.maxPartitionBytes")
     large = multi_line and (known["largest"] or 0) > split
     if not large and known["n"] < 2:
-        return [reader.csv(path)]
+        return [spread(reader.csv(path))]
     found = layouts(spark, path)
     if large:
         return [read_split_csv(spark, layout) for layout in found]
     if len(found) < 2:
-        return [reader.csv(path)]
-    return [reader.csv(layout.files) for layout in found]
+        return [spread(reader.csv(path))]
+    return [spread(reader.csv(layout.files)) for layout in found]
 
 
 def _bytes(spark: SparkSession, name: str) -> int:
