@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -130,6 +131,30 @@ def test_op6_chunks_equal_whole_texts(tokenizer, random_texts):
         assert encoder.encode(text) == np.array(ids, "<u2").tobytes()
 
 
+@pytest.mark.parametrize("entries", [40, 100_000])
+def test_op6_takes_words_of_many_texts_apart_at_once(tokenizer, random_texts, monkeypatch, entries):
+    """Each word is looked for once in a slice, and a mark behind a known word asks the library for nothing."""
+    odd = ["", " ", "  ", "a", " a", "a ", "a  b", "a\t b", "\t a b", "é\u3000 é", "x<|endoftext|>, y", "it's, it's. 'tis'",
+           "word,\u0301 end", "ß!? \u0250, \u01c5; 7, 7", "\x1c a\x1f b"]
+    texts = odd + random_texts + ["Thonre, queci. Thonre. queci! queci,", "Thonre### queci### Thonre queci"]
+    for size in (1, 60, 8 << 20):
+        monkeypatch.setattr(token_files, "SLICE_BYTES", size)
+        monkeypatch.setattr(token_files, "CHUNKS", entries)
+        encoder = token_files.Encoder(open(JSON, "rb").read(), 2)
+        for kind in (pa.string(), pa.large_string()):
+            found = list(encoder.encode_all(pa.array(["", *texts], kind).slice(1)))
+            ids = [np.frombuffer(x, encoder.kind).tolist() for x in found]
+            assert ids == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    asked = []
+    compute = encoder.cache.compute
+    encoder.cache.known.clear()
+    encoder.cache.older.clear()
+    encoder.cache.compute = lambda chunks: asked.extend(chunks) or compute(chunks)
+    list(encoder.encode_all(pa.array(["a wholly, a wholly. wholly a wholly, newly."])))
+    assert sorted(c for c in asked if len(c) > 2) == [" newly", " wholly"]
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
+
+
 def test_op6_odd_rows_and_single_documents(spark, odd_documents, no_documents, tokenizer):
     path = scratch_path(spark, "odd")
     token_files.write_token_files(odd_documents, path, JSON, end_id=2)

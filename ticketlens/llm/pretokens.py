@@ -17,6 +17,8 @@ import regex
 CACHE_ENTRIES = 400_000
 #: First chunks of texts that a task remembers beside them.
 OPENINGS = 50_000
+#: Runs of marks that follow words, remembered beside them.
+RUNS = 10_000
 #: Longer chunks are computed each time they occur.
 LONGEST_CACHED = 64
 
@@ -102,13 +104,28 @@ class ChunkCache:
             new = list({rest[i]: None for i in places})
             if any(not part or part[-1].isspace() for part in new):
                 return self._plain(text)
-            values = dict(zip(new, self.compute([" " + part for part in new])))
+            values = self._new_values(new)
             for i in places:
                 found[i] = values[rest[i]]
             self._remember(values)
-        return [self._opening(first), *found] if first else found
+        return [self.opening(first), *found] if first else found
+
+    def of_parts(self, parts: list[str]) -> list[Any]:
+        """The values of chunks that start with one space and end without, given without it, each once."""
+        found = list(map(self.get, parts))
+        places = [i for i, value in enumerate(found) if value is None]
+        if places:
+            values = self._new_values([parts[i] for i in places])
+            for i in places:
+                found[i] = values[parts[i]]
+            self._remember(values)
+        return found
 
-    def _opening(self, chunk: str) -> Any:
+    def _new_values(self, new: Sequence[str]) -> dict[str, Any]:
+        """The values of chunks that are not in `known`, by the chunk without its leading space."""
+        return dict(zip(new, self.compute([" " + part for part in new])))
+
+    def opening(self, chunk: str) -> Any:
         """The value of the first chunk of a text, which has no space before it."""
         value = self.openings.get(chunk)
         if value is None:
@@ -129,3 +146,66 @@ class ChunkCache:
     def _plain(self, text: str) -> list[Any]:
         chunks = split_chunks(text)
         return list(self.compute(chunks)) if chunks else []
+
+
+class WordCache(ChunkCache):
+    """A cache for values that are added up with `+`, which knows a word with any marks behind it by its parts.
+
+    The byte-level patterns always cut between a letter and the marks after it. `marks` are the characters that
+    count as such; none may be a letter, a digit or white space. A full cache forgets what was not asked for since it was last half full,
+    so frequent chunks stay.
+    """
+
+    def __init__(self, compute: Callable[[Sequence[str]], Sequence[Any]], entries: int, marks: str):
+        super().__init__(compute, entries // 2)
+        self.marks = marks
+        self.runs: dict[str, Any] = {}  # of marks
+        self.older: dict[str, Any] = {}
+
+    def _remember(self, values: dict[str, Any]) -> None:
+        if len(self.known) + len(values) > self.entries:
+            # `get` looks into `known`, so both change places by their contents.
+            self.older = self.known
+            self.known = {}
+            self.get = self.known.get
+        super()._remember(values)
+
+    def _new_values(self, new: Sequence[str]) -> dict[str, Any]:
+        known, older, marks = self.get, self.older.get, self.marks
+        values, wanted, cut = {}, {}, []
+        for part in new:
+            value = older(part)
+            if value is not None:
+                values[part] = value
+                continue
+            body = part.rstrip(marks)
+            run = self._run(part[len(body) :]) if body != part and _is_letter(body[-1:]) else None
+            if run is None:
+                wanted[part] = None
+                continue
+            cut.append((part, body, run))
+            value = known(body)
+            if value is None:
+                value = older(body)
+            if value is None:
+                wanted[body] = None
+            else:
+                values[body] = value
+        if wanted:
+            values.update(super()._new_values(list(wanted)))
+        for part, body, run in cut:
+            values[part] = values[body] + run
+        return values
+
+    def _run(self, run: str) -> Any:
+        """The value of marks that follow a letter; none when there are too many different ones."""
+        value = self.runs.get(run)
+        if value is None and len(self.runs) < RUNS and len(run) <= LONGEST_CACHED:
+            [value] = self.compute([run])
+            self.runs[run] = value
+        return value
+
+
+def _is_letter(char: str) -> bool:
+    """Whether `char` is a letter in every version of Unicode, so for any pattern; other letters are not told."""
+    return char < "\u0250" and char.isalpha()

@@ -10,11 +10,13 @@ Spark's own writer commits the files, so a lost task leaves nothing half written
 from __future__ import annotations
 
 import hashlib
+import string
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ticketlens.llm.common import ids_and_texts, read_bytes, single_threaded, sql_type, worker_cache
-from ticketlens.llm.pretokens import ChunkCache
+from ticketlens.llm.pretokens import ChunkCache, WordCache
 from ticketlens.session import reliable_checkpoint
 
 #: The dictionary is trained on so many documents, of at most so many characters each.
@@ -37,6 +39,8 @@ SEGMENT_DOCUMENTS = 4096
 BROADCAST_SEGMENTS = 500_000
 #: Chunks of which a worker remembers the ids, about 200 MB.
 CHUNKS = 1_000_000
+#: Texts of so many bytes are taken apart at a time; a longer one alone.
+SLICE_BYTES = 8 << 20
 
 
 class Encoder:
@@ -66,7 +70,10 @@ class Encoder:
             self.lengths[i] = len(token)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.lengths[i] = len(token.content.encode())
-        self.cache = ChunkCache(self._encode, CHUNKS)
+        # What may be cut from a word: no mark that an added token holds.
+        marks = "".join(char for char in string.punctuation if not any(char in t.content for t in added))
+        words = self.by_chunk and before.use_regex and not any(t.single_word for t in added)
+        self.cache = WordCache(self._encode, CHUNKS, marks) if words else ChunkCache(self._encode, CHUNKS)
 
     def _ids(self, text: str) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -86,6 +93,63 @@ class Encoder:
             return self._ids(text).tobytes() + self.end
         return b"".join(self.cache.values(text)) + self.end
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (none is null) in order; words of many texts are taken apart, looked up and put together at once."""
+        if not self.by_chunk:
+            for text in texts:
+                yield self.encode(text.as_py())
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield from self._encode_slice(texts.slice(begin, end - begin))
+            begin = end
+
+    def _encode_slice(self, texts: pa.Array) -> Iterator[bytes]:
+        parts = pc.split_pattern(texts, " ")
+        sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        lasts = np.cumsum(sizes)
+        firsts = lasts - sizes
+        # A word without end, or with white space there, joins what follows: texts with one are encoded alone.
+        closing = [word[-1:] for word in words]
+        spaces = {char for char in set(closing) if not char or char.isspace()}
+        plain = np.zeros(len(texts), bool)
+        if spaces:
+            open_ended = np.array([char in spaces for char in closing], bool)[codes]
+            empty = np.array([not char for char in closing], bool)[codes[firsts]]
+            before = np.concatenate([[0], np.cumsum(open_ended)])
+            plain = (before[lasts] > before[firsts + 1]) | (open_ended[firsts] & ~empty)
+        inner = np.repeat(~plain, sizes)
+        inner[firsts] = False
+        asked = np.zeros(len(words), bool)
+        asked[codes[inner]] = True
+        asked = np.flatnonzero(asked)
+        values = self.cache.of_parts([words[i] for i in asked])
+        ids = np.frombuffer(b"".join(values), self.kind)
+        counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[asked] = np.fromiter(map(len, values), np.int64, len(values)) // self.kind.itemsize
+        starts[asked] = np.cumsum(counts[asked]) - counts[asked]
+        # Each word of the texts stands for a run of `ids`; there are fewer than bytes in the slice.
+        found = codes[inner]
+        lengths = counts[found]
+        filled = np.concatenate([[0], np.cumsum(lengths)])
+        places = np.arange(filled[-1], dtype=np.int32)
+        places += np.repeat((starts[found] - filled[:-1]).astype(np.int32), lengths)
+        ids = ids[places]
+        of_text = np.concatenate([[0], np.cumsum(np.where(plain, 0, sizes - 1))])
+        bounds = filled[of_text].tolist()
+        for i, alone in enumerate(plain.tolist()):
+            if alone:
+                yield self.encode(texts[i].as_py())
+                continue
+            first = words[codes[firsts[i]]]
+            opening = self.cache.opening(first) if first else b""
+            yield opening + ids[bounds[i] : bounds[i + 1]].tobytes() + self.end
+
 
 def _encoder(content: bytes, end_id: int) -> Encoder:
     """A worker keeps its last encoder, with the cache, from task to task."""
@@ -169,8 +233,7 @@ def write_token_files(
 
         for rows in batches:
             kind = rows.column(0).type
-            for key, text in zip(rows.column(0).to_pylist(), rows.column(1)):
-                encoded = encoder.encode(text.as_py())
+            for key, encoded in zip(rows.column(0).to_pylist(), encoder.encode_all(rows.column(1))):
                 block = compress(encoded)
                 ids.append(key)
                 counts.append(len(encoded) // width)
