@@ -60,6 +60,29 @@ def test_repeated_kept_rows_leave_one(spark):
     assert sorted(" ".join(r.text.split()) for r in rows) == ["a b", "c"]
 
 
+def test_exact_drop_shuffles_whole_rows_once(spark, odd_documents):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        node = exact_dedup.drop_exact_copies(odd_documents)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node
+    dealt = []  # on the way from the result down to the rows of the table
+    while node.children().size():
+        if node.nodeName() == "Exchange":
+            dealt.append(node.outputPartitioning().toString())
+        node = node.children().apply(0)
+    assert len([x for x in dealt if "hashpartitioning" in x]) == 1
+
+
+def test_exact_drop_of_repeats_with_and_without_id(spark):
+    rows = [(None, "x"), (None, "x"), (None, "x "), (1, "y"), (1, "y"), (2, "y"), (2, "y"), (None, "y"), (3, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = sorted(map(tuple, exact_dedup.drop_exact_copies(docs).collect()), key=repr)
+    assert left == sorted([(None, "x"), (None, "x "), (1, "y"), (3, None)], key=repr)
+
+
 def test_large_groups_are_broadcast_with_the_same_result(spark, odd_documents, monkeypatch):
     plain = exact_dedup.exact_groups(odd_documents).collect()
     monkeypatch.setattr(common, "LARGE_GROUP_ROWS", 1)

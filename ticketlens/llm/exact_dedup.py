@@ -78,14 +78,18 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The row with the smallest id stays, a null id only if the whole group has none; of rows that repeat id and text,
     one. Null texts are empty. An empty table stays empty.
     """
-    mark, gone, digest = (free_name(name, docs) for name in ("mark", "gone", "digest"))
+    own, mark, gone, digest = (free_name(name, docs) for name in ("own", "mark", "gone", "digest"))
     groups = exact_groups(docs, id_col, text_col)
+    # Structs of null are equal, so ids that are null are joined like all others.
     dropped = groups.where(~F.col("kept")).select(
-        F.col("doc_id").alias(gone), F.unhex("text_sha256").alias(digest)
+        F.struct(F.col("doc_id").alias("id")).alias(gone), F.unhex("text_sha256").alias(digest)
     )
     text = normalised(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    marked = docs.withColumn(mark, F.unhex(F.sha2(text, 256)))
-    same = marked[id_col].eqNullSafe(F.col(gone)) & (F.col(mark) == F.col(digest))
-    left = marked.join(dropped, same, "left_anti")
-    # Repeats of a row are combined in each task before they meet.
-    return left.dropDuplicates([id_col, mark]).drop(mark)
+    marked = docs.withColumns(
+        {own: F.struct(F.col(f"`{id_col}`").alias("id")), mark: F.unhex(F.sha2(text, 256))}
+    )
+    # Repeats of a row are combined in each task before they meet. What is left is dealt by the keys of the
+    # join, so whole rows are shuffled once.
+    single = marked.dropDuplicates([own, mark])
+    same = (F.col(own) == F.col(gone)) & (F.col(mark) == F.col(digest))
+    return single.join(dropped.distinct(), same, "left_anti").drop(own, mark)
