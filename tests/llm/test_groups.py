@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ticketlens.llm import common, decontaminate, exact_dedup, near_dedup, queries
+from ticketlens.llm import common, decontaminate, exact_dedup, graphs, near_dedup, queries
 from ticketlens.llm.graphs import components
 
 
@@ -204,6 +204,18 @@ def test_components(spark):
     assert components(edges.where("false")).collect() == []
 
 
+def test_components_read_few_edges_in_few_tasks(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(0, 300, 1) if i % 10 != 9] + [(7, 3), (5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(16)
+    wanted = {i: i - i % 10 for i in range(301) if i != 300}
+    monkeypatch.setattr(graphs, "TASK_EDGES", 100)
+    written = graphs._packed(edges, edges.count())
+    assert written.rdd.getNumPartitions() == 3
+    for most in (100, 50_000):
+        monkeypatch.setattr(graphs, "TASK_EDGES", most)
+        assert {r.node: r.component for r in components(edges).collect()} == wanted
+
+
 # --- decontamination ----------------------------------------------------------
 
 
