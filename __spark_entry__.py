@@ -25,7 +25,7 @@ from ticketlens.operators.vectors import semantic_vectors  # noqa: E402
 from ticketlens.plans.pipeline import enrich_tickets  # noqa: E402
 from ticketlens.plans.report import report_from_states, report_tables, write_report_states  # noqa: E402
 from ticketlens.plans.themes import ThemeResult, build_themes  # noqa: E402
-from ticketlens.session import scratch_path, spread  # noqa: E402
+from ticketlens.session import scratch_path, spread, stored  # noqa: E402
 from ticketlens.sources import (  # noqa: E402
     normalize_tickets,
     read_tickets_csv,
@@ -70,11 +70,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.eligible_texts(_cleaned(spark, sf_dir))
 
 
-def _stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, cleaned once and written, for queries that read the texts several times."""
-    path = scratch_path(spark, "documents")
-    _documents(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+def _stored_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Ids, cleaned texts and `columns` of the same, cleaned once and written, for queries that read the texts several times."""
+    return stored(_documents(spark, sf_dir).select("ticket_id", *columns, "Description_clean"), "documents")
 
 
 def _with_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +136,12 @@ def _raw_export(spark: SparkSession, sf_dir: str, second_layout: bool) -> DataFr
     )
 
 
-def _given_groups(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _given_groups(spark: SparkSession, sf_dir: str, *columns: str) -> dict[str, DataFrame]:
     """Theme tables of all texts, grouped by their source in place of learned clusters.
 
-    Representatives are taken from the texts that have an embedding. Cleaned texts are written once.
+    Representatives are taken from the texts that have an embedding. Cleaned texts are written once, with `columns`.
     """
-    docs = _stored_documents(spark, sf_dir)
+    docs = _stored_documents(spark, sf_dir, "Summary", "Agencia", *columns)
     number = F.regexp_extract("Agencia", r"([0-9]+)$", 1).cast("int") % 10
     groups = docs.select("ticket_id", number.alias("theme_id"))
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -562,7 +560,7 @@ def _theme_queries() -> dict[str, Query]:
         return terms.tfidf(_stored_documents(spark, sf_dir))
 
     def by_language(spark, sf_dir):
-        docs = _stored_documents(spark, sf_dir)
+        docs = _stored_documents(spark, sf_dir, "Tipo")
         groups = docs.select("ticket_id", F.col("Tipo").alias("theme_id"))
         return _theme_term_weights(docs, groups)
 
@@ -587,16 +585,16 @@ def _theme_queries() -> dict[str, Query]:
         return tables.rank_themes(_given_groups(spark, sf_dir)["top"])
 
     def ticket_themes(spark, sf_dir):
-        return _given_ticket_themes(_given_groups(spark, sf_dir))
+        return _given_ticket_themes(_given_groups(spark, sf_dir, "Description"))
 
     def sentences(spark, sf_dir):
-        given = _given_groups(spark, sf_dir)
+        given = _given_groups(spark, sf_dir, "Description")
         return tables.theme_example_sentences(
             _given_themes(given), _given_ticket_themes(given)
         )
 
     def top_sentence(spark, sf_dir):
-        given = _given_groups(spark, sf_dir)
+        given = _given_groups(spark, sf_dir, "Description")
         return tables.top_theme_sentence(
             _given_themes(given), _given_ticket_themes(given)
         )

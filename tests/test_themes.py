@@ -1,11 +1,13 @@
 """Themes: exact steps against brute force, learned steps on planted groups."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -478,3 +480,43 @@ def test_few_terms_are_not_cut_where_texts_are(monkeypatch):
     assert vc._Grid.of(3_000_000, 330, 3_000_000 * 33, 12).term_runs == 1
     assert vc._Grid.of(49_453, 3_508_091, 30_000_000, 8).text_runs == 1
     assert vc._Grid.of(1000, 80, 20_000, 8).term_runs == 8
+
+
+def _scratch_bytes(spark):
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names)
+
+
+def _random_texts(n_texts, n_words, n_different):
+    """Texts in which most runs of words occur once; the last text is a copy of the first."""
+    random = np.random.default_rng(5)
+    words = ["w" + "".join(random.choice(list("abcdefgh"), 5)) for _ in range(n_different)]
+    texts = [" ".join(words[i] for i in random.integers(0, n_different, n_words)) for _ in range(n_texts - 1)]
+    return [*texts, texts[0]]
+
+
+def test_terms_of_one_text_are_neither_written_nor_asked_for(spark, tickets, monkeypatch):
+    """Weights of many texts equal brute force; what is written for them is less than the texts, not all their terms."""
+    monkeypatch.setattr(tm, "HELD_TERMS", 0)
+    monkeypatch.setattr(tm, "BATCH_CHARS", 200_000)
+    texts = _random_texts(200, 300, 4000)
+    frame = tickets([(i, "x", "s", "d", text) for i, text in enumerate(texts)]).cache()
+    dictionary = tm.term_dictionary(frame, len(texts)).cache()
+    terms = {r.term_no: r.term for r in dictionary.collect()}
+    before = _scratch_bytes(spark)
+    rows = tm.weighted_texts(frame, dictionary).collect()
+    assert _scratch_bytes(spark) - before < sum(map(len, texts))
+    expected = brute_tfidf(dict(enumerate(texts)))
+    assert set(terms.values()) == {term for weights in expected.values() for term in weights}
+    assert {r.ticket_id: {terms[c.term_no]: pytest.approx(c.weight) for c in r.cells} for r in rows} == expected
+
+
+def test_hashes_of_spelled_terms_and_of_numbered_ones_agree():
+    lists = pa.array([["aaa", "bbb", "aaa", "bbb"], [], ["bbb", "aaa", "ccc"]])
+    *_, terms = tm._terms_of(*tm._numbered(lists), np.arange(3))
+    spelled = terms.spelled(np.arange(len(terms)))
+    assert sorted(spelled.to_pylist()) == sorted(
+        ["aaa", "bbb", "ccc", "aaa bbb", "bbb aaa", "aaa ccc", "aaa bbb aaa", "bbb aaa bbb", "bbb aaa ccc"]
+    )
+    assert terms.spelled(np.array([1, 4, 7])).to_pylist() == [spelled[i].as_py() for i in (1, 4, 7)]
+    assert (tm._hashes_of(spelled) == terms.hashes()).all() and len(set(terms.hashes())) == len(terms)
