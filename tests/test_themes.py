@@ -520,3 +520,19 @@ def test_hashes_of_spelled_terms_and_of_numbered_ones_agree():
     )
     assert terms.spelled(np.array([1, 4, 7])).to_pylist() == [spelled[i].as_py() for i in (1, 4, 7)]
     assert (tm._hashes_of(spelled) == terms.hashes()).all() and len(set(terms.hashes())) == len(terms)
+
+
+def test_groups_are_sent_to_the_weights(tickets, monkeypatch):
+    """Weights, many times larger than the groups, are not shuffled to meet them; beyond the bound the rows are the same."""
+    monkeypatch.setattr(tm, "HELD_TERMS", 0)
+    frame = tickets(planted(8))
+    groups = frame.selectExpr("ticket_id", "ticket_id % 3 as theme_id").where("ticket_id != 5")
+    dictionary = tm.term_dictionary(frame, frame.count())
+    weights = tm.weighted_texts(frame, dictionary)
+    sums = tm.theme_term_weights(weights, groups, dictionary=dictionary)
+    assert "hashpartitioning(ticket_id" not in sums._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tm, "HELD_GROUPS", 0)
+    apart = tm.theme_term_weights(weights, groups, dictionary=dictionary)
+    assert "hashpartitioning(ticket_id" in apart._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.theme_id, r.term, round(r.mean_weight, 9)) for r in df.collect())
+    assert rows(sums) == rows(apart) != []
