@@ -536,3 +536,28 @@ def test_groups_are_sent_to_the_weights(tickets, monkeypatch):
     assert "hashpartitioning(ticket_id" in apart._jdf.queryExecution().executedPlan().toString()
     rows = lambda df: sorted((r.theme_id, r.term, round(r.mean_weight, 9)) for r in df.collect())
     assert rows(sums) == rows(apart) != []
+
+
+def test_rows_of_many_terms_are_not_shuffled(corpus, monkeypatch):
+    """With many texts and terms each task has all texts, some columns at a time; products of rows come back exactly."""
+    grid = vc._Grid.of(512_000, 15_000_000, 240_000_000, 6)
+    assert grid.whole and grid.tasks == 8 and grid.text_runs == 1
+    frame, weights, matrix = corpus
+    for name, value in (("RUN_TEXTS", 16), ("RUN_TERMS", 5), ("PART_ROWS", 5), ("CELLS_AT_ONCE", 7)):
+        monkeypatch.setattr(vc, name, value)
+    monkeypatch.setattr(vc._Grid, "of", lambda n_docs, n_terms, *_: vc._Grid(n_docs, n_terms, n_docs, 8, True, 3))
+    sent, products = [], vc._whole_products
+    monkeypatch.setattr(vc, "_whole_products", lambda *given: sent.append(given[3]) or products(*given))
+    few = weights.where(F.length("term") < 8)
+    words = sorted(r.term for r in few.select("term").distinct().collect())
+    rows = vc.project(few, frame, len(matrix), len(words)).rows.orderBy("ticket_id").collect()
+    assert max(sent) < len(words) and sum(sent) > (vc.POWER_ITERATIONS + 1) * max(sent)
+    exact = np.zeros((len(matrix), len(words)))
+    order = {row.ticket_id: at for at, row in enumerate(rows)}
+    for r in few.collect():
+        exact[order[r.ticket_id], words.index(r.term)] = r.weight
+    k = max(2, len(words) - 1)
+    u, s, v = np.linalg.svd(exact, full_matrices=False)
+    nearest = (u[:, :k] * s[:k]) @ v[:k]
+    dense = np.array([r.dense for r in rows])
+    assert np.abs(dense @ dense.T - nearest @ nearest.T).max() < 1e-3
