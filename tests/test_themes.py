@@ -12,6 +12,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries as entry_queries
 from ticketlens.operators import clusters as cl
 from ticketlens.operators import terms as tm
 from ticketlens.operators import theme_tables as tt
@@ -538,6 +539,18 @@ def test_groups_are_sent_to_the_weights(tickets, monkeypatch):
     assert rows(sums) == rows(apart) != []
 
 
+def test_text_cosines_do_not_write_all_weights(spark, tmp_path):
+    """Only the weights of the most widespread terms are written, although every text has hundreds of others."""
+    texts = [f"{text} {i // 2}" for i, text in enumerate(t for t in _random_texts(150, 300, 4000) for _ in range(2))]
+    rows = [(i, text, "en", f"src{i % 3}", len(text)) for i, text in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    before = _scratch_bytes(spark)
+    found = entry_queries()["text_cosines"](spark, str(tmp_path)).collect()
+    assert len(found) == len(texts) - 1 and all(r.same for r in found)
+    assert _scratch_bytes(spark) - before < 5 * sum(map(len, texts))
+
+
 def test_rows_of_many_terms_are_not_shuffled(corpus, monkeypatch):
     """With many texts and terms each task has all texts, some columns at a time; products of rows come back exactly."""
     grid = vc._Grid.of(512_000, 15_000_000, 240_000_000, 6)
